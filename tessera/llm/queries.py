@@ -2,21 +2,49 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..sources.tables import table
-from . import exact_dedup
+from . import decontam, exact_dedup
 
 
 def op2_exact_dedup(spark, sf_dir):
     return exact_dedup.classify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_exact_dedup": op2_exact_dedup}
+def op6_decontaminate(spark, sf_dir):
+    found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"] + 1)
+    n_items = F.size("items").cast("long")
+    return found.select(
+        "doc_id", "n_words", hit.alias("n_hit"), n_items.alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_items >= 2).alias("contaminated"),
+    )
+
+
+QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op6_decontaminate": op6_decontaminate}
+
+_OP2 = r"""
+    WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+    SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+           doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+    FROM n WINDOW w AS (PARTITION BY t)
+"""
+
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_OP6 = rf"""
+    WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+    b AS (SELECT item_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+    win AS (SELECT DISTINCT item_id, least(8, len(w)) AS k, unnest([w[i : i + least(8, len(w)) - 1] for i in range(1, len(w) - least(8, len(w)) + 2)]) AS g FROM b WHERE len(w) > 0),
+    sizes AS (SELECT DISTINCT k FROM win),
+    pos AS (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, sizes WHERE len(w) >= k),
+    hit AS (SELECT doc_id, i, pos.k, item_id FROM pos JOIN win ON win.k = pos.k AND win.g = pos.w[i : i + pos.k - 1]),
+    word AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS x FROM hit) GROUP BY doc_id),
+    item AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, list_sort(list(DISTINCT item_id::VARCHAR)) AS ids FROM hit GROUP BY doc_id)
+    SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+           sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
+    FROM d LEFT JOIN word USING (doc_id) LEFT JOIN item USING (doc_id)
+"""
 
-ORACLES = {
-    "op2_exact_dedup": r"""
-        WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
-        SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
-               doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
-        FROM n WINDOW w AS (PARTITION BY t)
-    """,
-}
+ORACLES = {"op2_exact_dedup": _OP2, "op6_decontaminate": _OP6}
