@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import decontam, exact_dedup
+from . import decontam, exact_dedup, packing
 
 
 def op2_exact_dedup(spark, sf_dir):
@@ -22,7 +22,12 @@ def op6_decontaminate(spark, sf_dir):
     )
 
 
-QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op6_decontaminate": op6_decontaminate}
+def op4_packing(spark, sf_dir):
+    pieces = packing.pack(table(spark, sf_dir, "documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op4_packing": op4_packing, "op6_decontaminate": op6_decontaminate}
 
 _OP2 = r"""
     WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
