@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import decontam, exact_dedup, packing, toxicity
+from . import decontam, exact_dedup, jaccard, packing, toxicity
 
 
 def op2_exact_dedup(spark, sf_dir):
@@ -27,6 +27,10 @@ def op4_packing(spark, sf_dir):
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op7_jaccard_join(spark, sf_dir):
+    return jaccard.components_of(table(spark, sf_dir, "documents"))
+
+
 def fold(column: str, folds: int):
     """crc32 of a column's text, modulo ``folds``."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % folds
@@ -43,7 +47,7 @@ def op10_toxicity(spark, sf_dir):
     return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
-QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op4_packing": op4_packing, "op6_decontaminate": op6_decontaminate, "op10_toxicity": op10_toxicity}
+QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op4_packing": op4_packing, "op6_decontaminate": op6_decontaminate, "op7_jaccard_join": op7_jaccard_join, "op10_toxicity": op10_toxicity}
 
 _OP2 = r"""
     WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
