@@ -22,9 +22,13 @@ def op6_decontaminate(spark, sf_dir):
     )
 
 
+def packed(docs):
+    """Pieces of whole documents, with the digest of their ids."""
+    return packing.pack(docs).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op4_packing(spark, sf_dir):
-    pieces = packing.pack(table(spark, sf_dir, "documents"))
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return packed(table(spark, sf_dir, "documents"))
 
 
 def op7_jaccard_join(spark, sf_dir):
