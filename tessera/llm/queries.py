@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import decontam, exact_dedup, jaccard, packing, toxicity
+from . import decontam, exact_dedup, jaccard, packing, suffix_dedup, toxicity
+
+
+def op1_suffix_dedup(spark, sf_dir):
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
 def op2_exact_dedup(spark, sf_dir):
@@ -51,7 +57,7 @@ def op10_toxicity(spark, sf_dir):
     return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
-QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op4_packing": op4_packing, "op6_decontaminate": op6_decontaminate, "op7_jaccard_join": op7_jaccard_join, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_exact_dedup": op2_exact_dedup, "op4_packing": op4_packing, "op6_decontaminate": op6_decontaminate, "op7_jaccard_join": op7_jaccard_join, "op10_toxicity": op10_toxicity}
 
 _OP2 = r"""
     WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
