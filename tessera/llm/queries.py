@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..sources.scratch import new_path
 from ..sources.tables import table
-from . import decontam, exact_dedup, jaccard, packing, suffix_dedup, toxicity
+from . import decontam, exact_dedup, jaccard, packing, suffix_dedup, toxicity, warc
 
 
 def op1_suffix_dedup(spark, sf_dir):
@@ -18,6 +19,13 @@ def op2_exact_dedup(spark, sf_dir):
     return exact_dedup.classify(table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark, sf_dir):
+    path = new_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    found = warc.read(spark, path, payload=False)
+    return found.select(F.col("id").alias("page_id"), "payload_bytes", F.col("sha1").alias("payload_digest"), "record_type", "refers_to")
+
+
 def op6_decontaminate(spark, sf_dir):
     found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"] + 1)
@@ -57,7 +65,7 @@ def op10_toxicity(spark, sf_dir):
     return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
-QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_exact_dedup": op2_exact_dedup, "op4_packing": op4_packing, "op6_decontaminate": op6_decontaminate, "op7_jaccard_join": op7_jaccard_join, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_exact_dedup": op2_exact_dedup, "op4_packing": op4_packing, "op5_warc": op5_warc, "op6_decontaminate": op6_decontaminate, "op7_jaccard_join": op7_jaccard_join, "op10_toxicity": op10_toxicity}
 
 _OP2 = r"""
     WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
@@ -82,4 +90,13 @@ _OP6 = rf"""
     FROM d LEFT JOIN word USING (doc_id) LEFT JOIN item USING (doc_id)
 """
 
-ORACLES = {"op2_exact_dedup": _OP2, "op6_decontaminate": _OP6}
+_OP5 = r"""
+    WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+    q AS (SELECT page_id, h, strlen(h) AS n, max(page_id) OVER (PARTITION BY h) AS top FROM p)
+    SELECT page_id, n::BIGINT AS payload_bytes, sha1(h) AS payload_digest,
+           CASE WHEN n < 1000 OR page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN n < 1000 OR page_id = top THEN NULL ELSE top END AS refers_to
+    FROM q
+"""
+
+ORACLES = {"op5_warc": _OP5, "op2_exact_dedup": _OP2, "op6_decontaminate": _OP6}
