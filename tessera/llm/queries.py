@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import new_path
 from ..sources.tables import table
-from . import decontam, exact_dedup, jaccard, packing, suffix_dedup, toxicity, warc
+from . import decontam, exact_dedup, html_main, jaccard, lm_score, packing, suffix_dedup, toxicity, warc
 
 
 def op1_suffix_dedup(spark, sf_dir):
@@ -54,6 +54,14 @@ def fold(column: str, folds: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % folds
 
 
+def op8_html_extraction(spark, sf_dir):
+    return html_main.main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op9_lm_scoring(spark, sf_dir):
+    return lm_score.scores(table(spark, sf_dir, "documents"), fold("doc_id", 10) == 0)
+
+
 def toxicity_model(spark, sf_dir):
     """Learned from the labels outside the held-out fold."""
     labels = table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0)
@@ -65,7 +73,7 @@ def op10_toxicity(spark, sf_dir):
     return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
-QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_exact_dedup": op2_exact_dedup, "op4_packing": op4_packing, "op5_warc": op5_warc, "op6_decontaminate": op6_decontaminate, "op7_jaccard_join": op7_jaccard_join, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_exact_dedup": op2_exact_dedup, "op4_packing": op4_packing, "op5_warc": op5_warc, "op6_decontaminate": op6_decontaminate, "op7_jaccard_join": op7_jaccard_join, "op8_html_extraction": op8_html_extraction, "op9_lm_scoring": op9_lm_scoring, "op10_toxicity": op10_toxicity}
 
 _OP2 = r"""
     WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)

@@ -35,50 +35,27 @@ gives an empty result; further columns are left alone.  Ids are integers.
 from __future__ import annotations
 
 import hashlib
-import pickle
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernel as K
+from .packed import ROW as _ROW
+from .packed import by_bucket, dealt
+from .packed import pack as _pack
+from .packed import rows as _rows
+from .packed import unpack as _unpack
 
 LENGTH = 100
 GRAM = 40
 _NULL = np.iinfo(np.int64).max
-_ROW = "bucket int, kind int, payload binary"
-_NAMES = ["bucket", "kind", "payload"]
 #: Kinds of packed rows, in the order in which a task reads them.
 REPEATED, FRAGMENTS, REMOVED, DONE, TEXTS = range(5)
 
 
-def _pack(x) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(x, protocol=5))
-
-
-def _unpack(raw: bytes):
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(raw))
-
-
-def _rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=_NAMES)
-
-
-def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return (K.mix(keys.view(np.uint64) + np.uint64(7)) % np.uint64(buckets)).astype(np.int64)
-
-
-def _dealt(bucket: np.ndarray, buckets: int):
-    """(bucket, indices) of each bucket that has any."""
-    order = np.argsort(bucket, kind="stable")
-    cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    for b in np.flatnonzero(np.diff(cut)):
-        yield int(b), order[cut[b] : cut[b + 1]]
-
-
 # --- anchors ---------------------------------------------------------------
 
 
@@ -131,10 +108,10 @@ def _send_anchors(length: int, gram: int, buckets: int):
             first = np.r_[True, h[1:] != h[:-1]] if len(h) else np.zeros(0, bool)
             edge = np.flatnonzero(first)
             again = np.diff(np.r_[edge, len(h)]) > 1
-            out = [(b, FRAGMENTS, _pack((h[edge[x]], doc[edge[x]], pos[edge[x]].astype(np.uint32), again[x]))) for b, x in _dealt(_bucket(h[edge], buckets), buckets)]
+            out = [(b, FRAGMENTS, _pack((h[edge[x]], doc[edge[x]], pos[edge[x]].astype(np.uint32), again[x]))) for b, x in dealt(h[edge], buckets)]
             # the rest of a repeated anchor is known to be repeated
             rest = np.flatnonzero(~first)
-            out += [(b, REPEATED, _pack((doc[rest[x]], pos[rest[x]].astype(np.uint32)))) for b, x in _dealt(_bucket(doc[rest], buckets), buckets)]
+            out += [(b, REPEATED, _pack((doc[rest[x]], pos[rest[x]].astype(np.uint32)))) for b, x in dealt(doc[rest], buckets)]
             if out:
                 yield _rows(out)
 
@@ -161,7 +138,7 @@ def _find_repeated(buckets: int):
         edge = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
         size = np.diff(np.r_[edge, len(h)])
         twice = np.flatnonzero(np.repeat((size > 1) | np.logical_or.reduceat(again, edge), size))
-        out = [(b, REPEATED, _pack((doc[twice[x]], pos[twice[x]]))) for b, x in _dealt(_bucket(doc[twice], buckets), buckets)]
+        out = [(b, REPEATED, _pack((doc[twice[x]], pos[twice[x]]))) for b, x in dealt(doc[twice], buckets)]
         for i in range(0, len(out), 500):
             yield _rows(out[i : i + 500])
 
@@ -177,7 +154,7 @@ def _send_texts(buckets: int):
             ids = _ids(batch.column(0))
             data, offs = K.text_bytes(batch.column(1))
             out = []
-            for b, x in _dealt(_bucket(ids, buckets), buckets):
+            for b, x in dealt(ids, buckets):
                 texts = [data[offs[i] : offs[i + 1]].tobytes() for i in x]
                 out.append((b, TEXTS, _pack((ids[x], [len(t) for t in texts], b"".join(texts)))))
             if out:
@@ -271,7 +248,7 @@ def _send_fragments(length: int, gram: int, buckets: int, text: bool):
             x = order[late]  # an equal fragment of this task precedes: all its windows go
             gone.append((fid[x], frow[x], start[x], start[x] + windows[x] - 1))
             x = order[~late]
-            for b, y in _dealt(_bucket(h[x], buckets), buckets):
+            for b, y in dealt(h[x], buckets):
                 y = x[y]
                 parts.setdefault(b, []).append((h[y], fid[y], frow[y], start[y].astype(np.uint32), windows[y].astype(np.uint16), _gather(part, place[y], size[y])))
         for b, got in parts.items():
@@ -309,7 +286,7 @@ def _removed(gone: list[tuple], buckets: int) -> list[tuple]:
     if not gone:
         return []
     ids, rows, lo, hi = (np.concatenate(x) for x in zip(*gone))
-    return [(b, REMOVED, _pack((ids[x], rows[x], lo[x].astype(np.uint32), hi[x].astype(np.uint32)))) for b, x in _dealt(_bucket(ids, buckets), buckets)]
+    return [(b, REMOVED, _pack((ids[x], rows[x], lo[x].astype(np.uint32), hi[x].astype(np.uint32)))) for b, x in dealt(ids, buckets)]
 
 
 # --- suffix sort -----------------------------------------------------------
@@ -517,7 +494,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     buckets = 4 * parts
     rows = docs.select(docs[id_col].cast("long"), docs[text_col].cast("string"))
-    by = lambda df: df.repartition(parts, "bucket")
+    by = lambda df: by_bucket(df, parts)
     sent = by(rows.mapInArrow(_send_anchors(length, gram, buckets), _ROW)).mapInArrow(_find_repeated(buckets), _ROW)
     texts = rows.mapInArrow(_send_texts(buckets), _ROW)
     at_home = by(sent.unionByName(texts)).sortWithinPartitions("kind")
