@@ -16,13 +16,18 @@ documents link when their sets' Jaccard similarity is at least ``PERCENT``/100.
    block's entries meet in one task, are sorted by shingle and multiplied.  A
    pair is discarded when its sizes, or its positions in the two sets, bound the
    overlap below the one that the threshold asks for.
-4. *Overlaps.*  For the pairs left the overlap is accumulated over all columns,
+4. *Sketches.*  A set's sketch has a bit for each of its hash cells, at least
+   two cells a shingle, with the parity of the shingles there.  Two sketches
+   differ in no more bits than the sets differ in shingles, so a pair whose
+   sketches differ too much is discarded without its texts.
+5. *Overlaps.*  For the pairs left the overlap is accumulated over all columns,
    from the texts, in blocks of at most ``PARTNERS`` rows against one row.
-5. *Long columns.*  A column with more than ``STAR`` classes (a large group of
+6. *Long columns.*  A column with more than ``STAR`` classes (a large group of
    near copies) is first multiplied with its smallest class alone.  Components of
    the links found are taken, and then only pairs of different components that
-   share a long column are multiplied: no link between components is lost, and
-   the pairs inside a component that is known already need not be formed.
+   share a long column are multiplied, in blocks of ``BLOCK`` classes: no link
+   between components is lost, and the pairs inside a component that is known
+   already need not be formed.
 
 Cases: a null or empty text, or one of white space, has an empty set and is
 linked with nothing; repeated rows of an id are members of a class each; a null
@@ -44,9 +49,11 @@ from .components import components
 
 SHINGLE = 5
 PERCENT = 80
-FREQUENT = 1 << 16
+FREQUENT = 1 << 20
 STAR = 32
 PARTNERS = 256
+BLOCK = 2048
+BROADCAST_IDS = 100_000
 
 _NOT_SPACE = ~K.SPACE
 
@@ -79,22 +86,51 @@ def _signature(s: np.ndarray) -> int:
     return int(np.sum(K.mix(s * np.uint64(0xFF51AFD7ED558CCD) + np.uint64(1)), dtype=np.uint64).astype(np.int64)) if len(s) else 0
 
 
+def _sketch(s: np.ndarray) -> bytes:
+    """Parity of the set's shingles in each of 2**j >= 2 n cells."""
+    cells = max(64, 1 << (2 * len(s) - 1).bit_length()) if len(s) else 64
+    odd = np.bincount((s & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(sketch: np.ndarray) -> np.ndarray:
+    """The sketch over half as many cells (the last axis holds the words)."""
+    half = sketch.shape[-1] // 2
+    return sketch[..., :half] ^ sketch[..., half:]
+
+
+def _differ(a: np.ndarray, b: np.ndarray) -> int:
+    """Bits in which two sketches differ: at most the sets' difference."""
+    while len(a) > len(b):
+        a = _folded(a)
+    while len(b) > len(a):
+        b = _folded(b)
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def _possible(na, nb, differ, percent):
+    """Whether sets of these sizes that differ so much can link."""
+    return (na + nb - differ) // 2 >= -(-percent * (na + nb) // (100 + percent))
+
+
 def members(docs: DataFrame, id_col: str, text_col: str, k: int = SHINGLE) -> DataFrame:
-    """id, n (size of the set) and sig of every document."""
+    """id, n (size of the set), sig and sketch of every document."""
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("t"))
 
     def run(batches):
         for batch in batches:
-            got = [(len(s), _signature(s)) for s in _sets(batch.column(1), k)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64())], names=["id", "n", "sig"])
+            got = [(len(s), _signature(s), _sketch(s)) for s in _sets(batch.column(1), k)]
+            columns = [pa.array([g[i] for g in got], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", "n", "sig", "sketch"])
 
-    return rows.mapInArrow(run, T.StructType([rows.schema["id"], T.StructField("n", T.LongType()), T.StructField("sig", T.LongType())]))
+    fields = [T.StructField("n", T.LongType()), T.StructField("sig", T.LongType()), T.StructField("sketch", T.BinaryType())]
+    return rows.mapInArrow(run, T.StructType([rows.schema["id"], *fields]))
 
 
 def _frequent(texts: DataFrame, k: int) -> np.ndarray:
     """The most frequent shingles, rarest first: at most FREQUENT of them.
 
-    A task reports a shingle that 8 of its classes hold; reports are added up."""
+    A batch reports a shingle that 4 of its classes hold; reports are added up."""
 
     def run(batches):
         for batch in batches:
@@ -109,7 +145,7 @@ def _frequent(texts: DataFrame, k: int) -> np.ndarray:
             flat = np.sort(np.concatenate(parts))
             edge = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]]) if len(flat) else np.zeros(0, np.int64)
             n = np.diff(np.r_[edge, len(flat)])
-            often = n >= 8
+            often = n >= 4
             yield pa.RecordBatch.from_arrays([pa.array(flat[edge][often].view(np.int64)), pa.array(n[often])], names=["h", "n"])
 
     top = texts.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(FREQUENT)
@@ -269,7 +305,9 @@ def _verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
     dealt = pairs.join(counted, "a").withColumn("part", F.pmod(F.xxhash64("b"), "parts"))
     wanted = dealt.select("a", "part", F.col("b").alias("id"))
     own = counted.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("a").alias("id"))
-    rows = wanted.unionByName(own).join(docs, "id").select("a", "part", "id", "t")
+    wanted = settle(wanted.unionByName(own), "jaccard-wanted")
+    few = wanted.count() <= BROADCAST_IDS  # then the texts need not move for the join
+    rows = docs.join(F.broadcast(wanted) if few else wanted, "id").select("a", "part", "id", "t")
     id_type = rows.schema["id"].dataType
 
     def run(batches):
@@ -294,6 +332,103 @@ def _verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
     return placed.mapInArrow(run, schema)
 
 
+def _by_sketch(pairs: DataFrame, percent: int) -> DataFrame:
+    """Of (a, b, na, nb, ka, kb) the pairs (a, b) whose sketches let them link."""
+
+    def run(batches):
+        for batch in batches:
+            na, nb = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            ka, kb = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+            ok = [_possible(m, n, _differ(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), percent) for m, n, x, y in zip(na, nb, ka, kb)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    rows = pairs.select("a", "b", "na", "nb", "ka", "kb")
+    return rows.mapInArrow(run, T.StructType([rows.schema["a"], rows.schema["b"]]))
+
+
+class _Block:
+    """Rows of a long column: sizes, positions, components and sketches by width."""
+
+    def __init__(self, columns: dict[str, list]):
+        self.rep, self.c = columns["rep"], columns["c"]
+        self.n, self.pos = np.array(columns["n"]), np.array(columns["pos"])
+        self.sketch = [np.frombuffer(x, np.uint64) for x in columns["sketch"]]
+        self.width = np.array([len(x) for x in self.sketch])
+        self.component = np.unique(np.array(self.c, object).astype(str), return_inverse=True)[1] if self.c else np.zeros(0, int)
+        self.row = np.zeros(len(self.c), np.int64)
+        self.table = {}
+        for w in np.unique(self.width).tolist():
+            here = np.flatnonzero(self.width == w)
+            self.row[here] = np.arange(len(here))
+            full = np.stack([self.sketch[i] for i in here])
+            self.table[w] = (full, _folded(full) if w > 1 else None)
+
+    def partners(self, i: int, among: np.ndarray, percent: int) -> list[int]:
+        """Which of the rows ``among`` can link with row i, of another component."""
+        among = among[self.component[among] != self.component[i]]
+        n, pos = self.n[among], self.pos[among]
+        among = among[_feasible(np.full(len(among), self.n[i]), np.full(len(among), self.pos[i]), n, pos, percent)]
+        out = []
+        w = int(self.width[i])
+        for width in np.unique(self.width[among]).tolist():
+            js = among[self.width[among] == width]
+            if width == w:
+                mine, theirs = self.sketch[i], self.table[width][0]
+            elif width == 2 * w:
+                mine, theirs = self.sketch[i], self.table[width][1]
+            elif 2 * width == w:
+                mine, theirs = _folded(self.sketch[i]), self.table[width][0]
+            else:  # sizes that far apart don't link
+                continue
+            differ = np.bitwise_count(theirs[self.row[js]] ^ mine).sum(1).astype(np.int64)
+            out += js[_possible(self.n[i], self.n[js], differ, percent)].tolist()
+        return out
+
+
+def _multiply_long(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components in each (h, x, y): a column's blocks x and y."""
+    names = ["h", "x", "y", "second", "rep", "c", "n", "pos", "sketch"]
+
+    def run(batches):
+        held: dict[str, list] = {}
+        key = None
+        for batch in batches:
+            got = {name: batch.column(i).to_pylist() for i, name in enumerate(names)}
+            keys = list(zip(got["h"], got["x"], got["y"]))
+            first = 0
+            for at in range(1, len(keys) + 1):
+                if at == len(keys) or keys[at] != keys[first]:
+                    if keys[first] != key:
+                        yield from product(held, batch.schema)
+                        held, key = {name: [] for name in names}, keys[first]
+                    for name in names:
+                        held[name] += got[name][first:at]
+                    first = at
+        if key is not None:
+            yield from product(held, batch.schema)
+
+    def product(held, schema):
+        if not held:
+            return
+        block = _Block(held)
+        second = np.array(held["second"], bool)
+        a, b = [], []
+        same = held["x"][0] == held["y"][0]
+        late = np.flatnonzero(second)
+        for i in np.arange(len(second)) if same else np.flatnonzero(~second):
+            for j in block.partners(int(i), np.arange(i + 1, len(second)) if same else late, percent):
+                x, y = block.rep[i], block.rep[j]
+                a.append(min(x, y))
+                b.append(max(x, y))
+        if a:
+            kind = schema.field(4).type
+            yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], names=["a", "b"])
+
+    kind = rows.schema["rep"].dataType
+    placed = rows.select(*names).repartition("h", "x", "y").sortWithinPartitions("h", "x", "y")
+    return placed.mapInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
+
+
 class JaccardJoin:
     """The join over one table; each step is a written table."""
 
@@ -302,7 +437,7 @@ class JaccardJoin:
         self.docs = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("t"))
         self.id_col = id_col
         self.members = settle(members(docs, id_col, text_col, shingle), "jaccard-members")
-        self.classes = settle(self.members.where("n > 0").groupBy("sig", "n").agg(F.min("id").alias("rep"), F.count("*").alias("size")), "jaccard-classes")
+        self.classes = settle(self.members.where("n > 0").groupBy("sig", "n").agg(F.min("id").alias("rep"), F.min("sketch").alias("sketch")), "jaccard-classes")
         self._multiply()
 
     def _multiply(self) -> None:
@@ -311,11 +446,11 @@ class JaccardJoin:
         order = spark.sparkContext.broadcast(_Order(_frequent(texts, self.k)))
         blocks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
         self.product = settle(_product(_entries(texts, order, self.k, self.percent, blocks), self.percent, self.star, blocks), "jaccard-product")
-        reps = self.classes.select("sig", "n", "rep")
+        of = lambda x: self.classes.select(F.col("sig").alias(f"s{x}"), F.col("n").alias(f"n{x}"), F.col("rep").alias(f"r{x}"), F.col("sketch").alias(f"k{x}"))
         pairs = self.product.where("not long_column").select("sa", "na", "sb", "nb").distinct()
-        pairs = pairs.join(reps.select(F.col("sig").alias("sa"), F.col("n").alias("na"), F.col("rep").alias("ra")), ["sa", "na"])
-        pairs = pairs.join(reps.select(F.col("sig").alias("sb"), F.col("n").alias("nb"), F.col("rep").alias("rb")), ["sb", "nb"])
-        self.tested = settle(pairs.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).where("a <> b").distinct(), "jaccard-pairs")
+        pairs = pairs.join(of("a"), ["sa", "na"]).join(of("b"), ["sb", "nb"])
+        pairs = _by_sketch(pairs.withColumnsRenamed({"ra": "a", "rb": "b"}), self.percent)
+        self.tested = settle(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "jaccard-pairs")
         self.links = settle(_verify(self.tested, self.docs, self.k, self.percent), "jaccard-links")
 
     def _labels(self, links: DataFrame) -> DataFrame:
@@ -324,15 +459,15 @@ class JaccardJoin:
     def _across(self, labels: DataFrame) -> DataFrame:
         """Pairs of different components that share a long column."""
         long = self.product.where("long_column").select("h", F.col("sa").alias("sig"), F.col("na").alias("n"), "pos")
-        long = long.join(self.classes.select("sig", "n", "rep"), ["sig", "n"])
-        long = long.join(labels, long["rep"] == labels["node"], "left").select("h", "rep", "n", "pos", F.coalesce("component", "rep").alias("c"))
-        mixed = long.groupBy("h").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("h")
-        long = settle(long.join(mixed, "h", "left_semi"), "jaccard-long")
-        x, y = long.alias("x"), long.alias("y")
-        need = F.ceil(F.lit(self.percent) * (F.col("x.n") + F.col("y.n")) / (100 + self.percent))
-        most = F.least(F.col("x.pos"), F.col("y.pos")) + F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
-        apart = (F.col("x.h") == F.col("y.h")) & (F.col("x.c") < F.col("y.c")) & (F.least("x.n", "y.n", most) >= need)
-        pairs = x.join(y, apart).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+        long = long.join(self.classes, ["sig", "n"])
+        long = long.join(labels, long["rep"] == labels["node"], "left").select("h", "rep", "n", "pos", "sketch", F.coalesce("component", "rep").alias("c"))
+        long = settle(long, "jaccard-long")
+        sizes = long.groupBy("h").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        long = long.join(sizes.where("c1 <> c2").select("h", "blocks"), "h").withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+        # a row takes part in the product of its block with every block of the column
+        long = long.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        long = long.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other"), "second": F.col("own") > F.col("other")})
+        pairs = _multiply_long(long, self.percent).distinct()
         return pairs.join(self.tested, ["a", "b"], "left_anti")
 
     def components(self) -> DataFrame:
