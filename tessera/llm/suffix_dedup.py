@@ -9,12 +9,14 @@ one with the smallest hash, the leftmost of equals.  Equal windows pick anchors
 at equal offsets, so equal windows meet where their anchors meet:
 
 1. *Anchors* (about 2 of LENGTH - GRAM bytes) go to buckets by their hash; a
-   task sends the first of those it has itself and keeps the rest.  Anchors that
-   occur twice are sent back to their documents.
+   task sends the first of those it has several times.  Anchors that occur in two
+   places are sent to their documents.  Copies of a text count as one place: a
+   text's home is its digest's, where the copy with the smallest id stands for
+   all (the bytes are compared) and the others are removed whole.
 2. *Fragments*: a document sends, for each repeated anchor, the bytes of the
    windows that pick it.  Equal fragments of a task are sent once.
-3. *Suffix sort*: in a bucket the suffixes that start a window are sorted anchor
-   by anchor, by a bottom-up mergesort.  Two suffixes are compared through the
+3. *Suffix sort*: in a bucket the suffixes that start a window are sorted, those
+   of one anchor and distance from it together, by a bottom-up mergesort.  Two suffixes are compared through the
    length of their common prefix, found by binary search over prefix polynomial
    hashes (7 steps for 100 bytes), then by the next byte.  Neighbours that agree
    in LENGTH bytes are equal windows; their bytes are compared, and should a
@@ -22,7 +24,7 @@ at equal offsets, so equal windows meet where their anchors meet:
    equal windows the first stays, the others are reported to their documents.
 4. *Documents* unite the reported windows.
 
-It is one plan with four exchanges; what moves are packed arrays, dealt by hash
+It is one plan of four exchanges; what moves are packed arrays, dealt by hash
 buckets.  An anchor's rows are combined in every task before each exchange, so a
 string held by a third of all documents arrives once a task.
 
@@ -50,10 +52,12 @@ from .packed import rows as _rows
 from .packed import unpack as _unpack
 
 LENGTH = 100
-GRAM = 40
+GRAM = 24
+#: Bytes of text whose fragments a task gathers before it sends them.
+GATHER = 48 << 20
 _NULL = np.iinfo(np.int64).max
 #: Kinds of packed rows, in the order in which a task reads them.
-REPEATED, FRAGMENTS, REMOVED, DONE, TEXTS = range(5)
+REPEATED, FRAGMENTS, REMOVED, COPIES, TEXTS = range(5)
 
 
 # --- anchors ---------------------------------------------------------------
@@ -89,17 +93,45 @@ def _ids(column) -> np.ndarray:
     return column.cast(pa.int64()).fill_null(_NULL).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def _digests(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    raw = b"".join(hashlib.blake2b(data[a:z], digest_size=8).digest() for a, z in zip(offs[:-1], offs[1:]))
+    return np.frombuffer(raw, np.int64)
+
+
+def _distinct(data: np.ndarray, offs: np.ndarray, ids: np.ndarray, length: int):
+    """Of a batch's equal texts the first by id: their places and digests, how
+    often the same id repeats the text, and the places of the other copies.
+    Texts shorter than ``length`` are all first ones."""
+    digest = _digests(data, offs)
+    order = np.lexsort((ids, digest))
+    new = np.r_[True, digest[order][1:] != digest[order][:-1]] if len(order) else np.zeros(0, bool)
+    head = np.flatnonzero(new)
+    group = np.cumsum(new) - 1
+    same = ids[order] == ids[order][head][group] if len(order) else new
+    times = np.bincount(group[same], minlength=len(head))
+    other = order[~same]
+    short = np.diff(offs)[other] < length
+    first = np.r_[order[head], other[short]]
+    return first, digest[first], np.r_[times, np.ones(short.sum(), np.int64)], other[~short]
+
+
 def _send_anchors(length: int, gram: int, buckets: int):
     def run(batches):
         for batch in batches:
             ids = _ids(batch.column(0))
             data, offs = K.text_bytes(batch.column(1))
+            places, digests, _, _ = _distinct(data, offs, ids, length)
+            digest = np.zeros(len(ids), np.int64)
+            digest[places] = digests
+            first_of = np.zeros(len(ids), bool)
+            first_of[places] = True
             parts = []
             for i, j in K.chunks(offs):
                 own = offs[i : j + 1] - offs[i]
                 pos, h, _, _ = anchors(data[offs[i] : offs[j]], own, length, gram)
                 doc = np.searchsorted(own, pos, "right") - 1
-                parts.append((h, ids[i + doc], pos - own[doc]))
+                yes = first_of[i + doc]
+                parts.append((h[yes], digest[i + doc[yes]], (pos - own[doc])[yes]))
             if not parts:
                 continue
             h, doc, pos = (np.concatenate(x) for x in zip(*parts))
@@ -137,7 +169,9 @@ def _find_repeated(buckets: int):
         h, doc, pos, again = h[order], doc[order], pos[order], again[order]
         edge = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
         size = np.diff(np.r_[edge, len(h)])
-        twice = np.flatnonzero(np.repeat((size > 1) | np.logical_or.reduceat(again, edge), size))
+        head = np.repeat(edge, size)
+        elsewhere = again | (doc != doc[head]) | (pos != pos[head])
+        twice = np.flatnonzero(np.repeat(np.logical_or.reduceat(elsewhere, edge), size))
         out = [(b, REPEATED, _pack((doc[twice[x]], pos[twice[x]]))) for b, x in dealt(doc[twice], buckets)]
         for i in range(0, len(out), 500):
             yield _rows(out[i : i + 500])
@@ -148,34 +182,114 @@ def _find_repeated(buckets: int):
 # --- documents -------------------------------------------------------------
 
 
-def _send_texts(buckets: int):
+def _send_texts(length: int, buckets: int):
+    """Each distinct text of a batch to its digest's home; the copies of a batch
+    are removed whole."""
+
     def run(batches):
         for batch in batches:
             ids = _ids(batch.column(0))
             data, offs = K.text_bytes(batch.column(1))
+            first, digest, times, copies = _distinct(data, offs, ids, length)
             out = []
-            for b, x in dealt(ids, buckets):
-                texts = [data[offs[i] : offs[i + 1]].tobytes() for i in x]
-                out.append((b, TEXTS, _pack((ids[x], [len(t) for t in texts], b"".join(texts)))))
+            for b, x in dealt(digest, buckets):
+                texts = [data[offs[i] : offs[i + 1]].tobytes() for i in first[x]]
+                out.append((b, TEXTS, _pack((ids[first[x]], digest[x], times[x], [len(t) for t in texts], b"".join(texts)))))
+            for b, x in dealt(ids[copies], buckets):
+                out.append((b, COPIES, _pack((ids[copies[x]], np.diff(offs)[copies[x]]))))
             if out:
                 yield _rows(out)
 
     return run
 
 
-def _fragments(data: np.ndarray, offs: np.ndarray, ids: np.ndarray, rows: np.ndarray, wanted, length: int, gram: int):
-    """Fragments of the repeated anchors: hash, id, row, first window, windows,
-    and the fragment's place in data."""
-    pos, h, lo, hi = anchors(data, offs, length, gram)
-    doc = np.searchsorted(offs, pos, "right") - 1
-    keys, places = wanted
-    yes = np.isin(_pair(ids[doc], pos - offs[doc]), _pair(keys, places))
-    pos, h, lo, hi, doc = pos[yes], h[yes], lo[yes], hi[yes], doc[yes]
-    return h, ids[doc], rows[doc], lo - offs[doc], hi - lo + 1, lo, doc
+def _texts(raw: bytes):
+    """(id, digest, times, text) of a packed row."""
+    ids, digest, times, sizes, data = _unpack(raw)
+    ends = np.cumsum(sizes).tolist()
+    for i, d, t, n, end in zip(ids.tolist(), digest.tolist(), times.tolist(), sizes, ends):
+        yield i, d, t, data[end - n : end]
+
+
+def _send_fragments(length: int, gram: int, buckets: int):
+    def run(batches):
+        known: list = []
+        held: dict[int, tuple[int, bytes]] = {}
+        size = 0
+
+        def lists():
+            keys = np.concatenate([k[0] for k in known]) if known else np.zeros(0, np.int64)
+            places = np.concatenate([k[1] for k in known]) if known else np.zeros(0, np.uint32)
+            by = np.argsort(keys, kind="stable")
+            return keys[by], places[by]
+
+        wanted = None
+        seen: dict[int, int] = {}
+        raws: list[bytes] = []
+        for batch in batches:
+            for kind, raw in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if kind == REPEATED:
+                    known.append(_unpack(raw))
+                elif kind == TEXTS:  # the smallest id of each digest first, then the texts
+                    ids, digest, *_ = _unpack(raw)
+                    for i, d in zip(ids.tolist(), digest.tolist()):
+                        seen[d] = min(i, seen.get(d, i))
+                    raws.append(raw)
+        wanted = lists()
+        done: set[int] = set()
+        for raw in raws:
+            for i, d, _, text in _texts(raw):
+                if i != seen[d] or d in done or len(text) < length:
+                    continue
+                done.add(d)
+                at = int(np.searchsorted(wanted[0], d))
+                if at < len(wanted[0]) and wanted[0][at] == d:
+                    held[d] = (i, text)
+                    size += len(text)
+            if size >= GATHER:
+                yield from send(held, wanted)
+                held, size = {}, 0
+        yield from send(held, wanted)
+
+    def send(held, wanted):
+        if not held:
+            return
+        keys, places = wanted
+        digest = np.array(list(held), np.int64)
+        ids = np.array([x[0] for x in held.values()], np.int64)
+        offs = np.r_[0, np.cumsum([len(x[1]) for x in held.values()])].astype(np.int64)
+        data = np.frombuffer(b"".join(x[1] for x in held.values()), np.uint8)
+        pairs = np.sort(_pair(keys, places))
+        parts = []
+        for i, j in K.chunks(offs):
+            part, po = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
+            pos, h, lo, hi = anchors(part, po, length, gram)
+            doc = np.searchsorted(po, pos, "right") - 1
+            key = _pair(digest[i + doc], pos - po[doc])
+            yes = pairs[np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)] == key
+            h, pos, lo, hi, doc = h[yes], pos[yes], lo[yes], hi[yes], doc[yes]
+            n = hi - lo + length
+            same = _same_key(K.prefix_hash(part), lo, n, h)
+            parts.append((h, same, ids[i + doc], digest[i + doc], lo - po[doc], hi - lo + 1, pos - lo, lo + offs[i]))
+        h, same, fid, frow, start, windows, lead, place = (np.concatenate(x) for x in zip(*parts))
+        n = windows + length - 1
+        order, group, late = _first_of_equals(same, fid, frow, start)
+        late &= _same_bytes(data, place[order], n[order], group)
+        x = order[late]  # an equal fragment of this task precedes: all its windows go
+        out = _removed([(fid[x], frow[x], start[x], start[x] + windows[x] - 1)], buckets)
+        x = order[~late]
+        x = x[np.argsort(h[x], kind="stable")]
+        for b, y in dealt(h[x], buckets):
+            y = x[y]
+            out.append((b, FRAGMENTS, _pack((h[y], fid[y], frow[y], start[y].astype(np.uint32), windows[y].astype(np.uint16), lead[y].astype(np.uint16), _gather(data, place[y], n[y])))))
+        for i in range(0, len(out), 200):
+            yield _rows(out[i : i + 200])
+
+    return run
 
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """One number for (id, position): a mixed hash, which may only add anchors."""
+    """One number for (digest, position): a mixed hash, which may only add anchors."""
     return K.mix(a.astype(np.int64).view(np.uint64)) + b.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -195,71 +309,6 @@ def _first_of_equals(key: np.ndarray, ids: np.ndarray, rows: np.ndarray, start:
     return order, group, (ids > least) | same_row
 
 
-def _send_fragments(length: int, gram: int, buckets: int, text: bool):
-    def run(batches):
-        known: list = []
-        for batch in batches:
-            out = []
-            for b, kind, raw in zip(*(c.to_pylist() for c in batch.columns)):
-                if kind == REPEATED:
-                    known.append(_unpack(raw))
-                    continue
-                if isinstance(known, list):
-                    keys = np.concatenate([k[0] for k in known]) if known else np.zeros(0, np.int64)
-                    places = np.concatenate([k[1] for k in known]) if known else np.zeros(0, np.uint32)
-                    by = np.argsort(keys, kind="stable")
-                    known = (keys[by], places[by])
-                out += one(b, raw, known)
-            if out:
-                yield _rows(out)
-
-    def one(bucket, raw, known):
-        ids, sizes, data = _unpack(raw)
-        data = np.frombuffer(data, np.uint8)
-        offs = np.r_[0, np.cumsum(sizes)].astype(np.int64)
-        keys, places = known
-        at = np.searchsorted(keys, ids)
-        held = (at < len(keys)) & (keys[np.minimum(at, max(0, len(keys) - 1))] == ids) if len(keys) else np.zeros(len(ids), bool)
-        rows = np.array([int.from_bytes(hashlib.blake2b(data[offs[i] : offs[i + 1]], digest_size=4).digest(), "little") for i in range(len(ids))], np.uint32)
-        out = []
-        plain = np.flatnonzero(~held & ~text)
-        if len(plain):
-            out.append((bucket, DONE, _pack([(int(ids[i]), int(sizes[i]), hashlib.sha256(data[offs[i] : offs[i + 1]]).hexdigest()) for i in plain])))
-        rest = np.flatnonzero(held | text)
-        if not len(rest):
-            return out
-        texts = [data[offs[i] : offs[i + 1]].tobytes() for i in rest]
-        out.append((bucket, TEXTS, _pack((ids[rest], [len(t) for t in texts], b"".join(texts)))))
-        own = np.r_[0, np.cumsum([len(t) for t in texts])].astype(np.int64)
-        data = np.frombuffer(b"".join(texts), np.uint8)
-        ids, rows = ids[rest], rows[rest]
-        parts: dict[int, list] = {}
-        gone: list[tuple] = []
-        for i, j in K.chunks(own):
-            part, po = data[own[i] : own[j]], own[i : j + 1] - own[i]
-            a, z = np.searchsorted(keys, ids[i:j].min(), "left"), np.searchsorted(keys, ids[i:j].max(), "right")
-            h, fid, frow, start, windows, place, _ = _fragments(part, po, ids[i:j], rows[i:j], (keys[a:z], places[a:z]), length, gram)
-            if not len(h):
-                continue
-            size = windows + length - 1
-            key = _same_key(K.prefix_hash(part), place, size, h)
-            order, group, late = _first_of_equals(key, fid, frow, start)
-            late &= _same_bytes(part, place[order], size[order], group)
-            x = order[late]  # an equal fragment of this task precedes: all its windows go
-            gone.append((fid[x], frow[x], start[x], start[x] + windows[x] - 1))
-            x = order[~late]
-            for b, y in dealt(h[x], buckets):
-                y = x[y]
-                parts.setdefault(b, []).append((h[y], fid[y], frow[y], start[y].astype(np.uint32), windows[y].astype(np.uint16), _gather(part, place[y], size[y])))
-        for b, got in parts.items():
-            *columns, raw = zip(*got)
-            out.append((b, FRAGMENTS, _pack((*(np.concatenate(c) for c in columns), np.concatenate(raw)))))
-        out += _removed(gone, buckets)
-        return out
-
-    return run
-
-
 def _gather(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The bytes data[at:at+size] of all spans, one after the other."""
     if not len(at):
@@ -286,7 +335,7 @@ def _removed(gone: list[tuple], buckets: int) -> list[tuple]:
     if not gone:
         return []
     ids, rows, lo, hi = (np.concatenate(x) for x in zip(*gone))
-    return [(b, REMOVED, _pack((ids[x], rows[x], lo[x].astype(np.uint32), hi[x].astype(np.uint32)))) for b, x in dealt(ids, buckets)]
+    return [(b, REMOVED, _pack((ids[x], rows[x], lo[x].astype(np.uint32), hi[x].astype(np.uint32)))) for b, x in dealt(rows, buckets)]
 
 
 # --- suffix sort -----------------------------------------------------------
@@ -304,13 +353,18 @@ class Suffixes:
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Length of the common prefix by binary search over prefix hashes."""
         ha, hb, ia, ib = self.prefix[a], self.prefix[b], self.back[a], self.back[b]
-        low, high = np.zeros(len(a), np.int64), np.full(len(a), self.length)
+        out = np.full(len(a), self.length)
+        whole = (self.prefix[a + self.length] - ha) * ia == (self.prefix[b + self.length] - hb) * ib
+        rest = np.flatnonzero(~whole)
+        a, b, ha, hb, ia, ib = (x[rest] for x in (a, b, ha, hb, ia, ib))
+        low, high = np.zeros(len(a), np.int64), np.full(len(a), self.length - 1)
         for _ in range(self.steps):
             mid = (low + high + 1) >> 1
             same = (self.prefix[a + mid] - ha) * ia == (self.prefix[b + mid] - hb) * ib
             low = np.where(same, mid, low)
             high = np.where(same, high, mid - 1)
-        return low
+        out[rest] = low
+        return out
 
     def before(self, a: np.ndarray, b: np.ndarray, ties: np.ndarray) -> np.ndarray:
         """Whether suffix a sorts before suffix b; ``ties`` where they are equal."""
@@ -376,9 +430,9 @@ class Suffixes:
         return order, np.cumsum(new) - 1
 
 
-def repeats(h, ids, rows, start, windows, data, length: int):
+def repeats(h, ids, rows, start, windows, lead, data, length: int):
     """Windows of the fragments that an equal window precedes: (id, row, first
-    start, last start) runs."""
+    start, last start) runs.  ``lead``: bytes of a fragment before its anchor."""
     size = windows.astype(np.int64) + length - 1
     place = np.cumsum(size) - size
     start, windows = start.astype(np.int64), windows.astype(np.int64)
@@ -394,12 +448,18 @@ def repeats(h, ids, rows, start, windows, data, length: int):
     anchor = np.cumsum(np.r_[True, h[x][1:] != h[x][:-1]]) - 1
     x = x[(np.bincount(anchor) > 1)[anchor]]
     if len(x):
-        # suffixes that start a window, anchor by anchor
+        # suffixes that start a window, by anchor and by their distance from it
         n = windows[x]
         own = np.repeat(np.arange(len(x)), n)
         step = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
-        hx = h[x][own]
-        group = np.cumsum(np.r_[True, hx[1:] != hx[:-1]]) - 1
+        anchor = np.cumsum(np.r_[True, h[x][1:] != h[x][:-1]]) - 1
+        group = anchor[own] * np.int64(1 << 16) + lead[x].astype(np.int64)[own] - step + (1 << 15)
+        by = np.argsort(group, kind="stable")
+        own, step, group = own[by], step[by], group[by]
+        _, group, size = np.unique(group, return_inverse=True, return_counts=True)
+        more = (size > 1)[group]  # a window of its own has no equal
+        own, step, group = own[more], step[more], group[more]
+    if len(x) and len(own):
         suffixes = Suffixes(data, length)
         order, cls = suffixes.classes(place[x][own] + step, group)
         f = x[own[order]]
@@ -444,31 +504,45 @@ _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 def _unite(length: int, text: bool, names: list[str]):
     def run(batches):
         cuts: dict[tuple[int, int], list] = {}
+        raws: list[bytes] = []
+        seen: dict[int, int] = {}
+        out: list[tuple] = []
         for batch in batches:
-            out = []
-            for _, kind, raw in zip(*(c.to_pylist() for c in batch.columns)):
-                got = _unpack(raw)
+            for kind, raw in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 if kind == REMOVED:
-                    ids, rows, lo, hi = got
+                    ids, rows, lo, hi = _unpack(raw)
                     order = np.lexsort((rows, ids))
                     ids, rows, lo, hi = ids[order], rows[order], lo[order], hi[order]
                     edge = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (rows[1:] != rows[:-1])])
                     for a, z in zip(edge, np.r_[edge[1:], len(ids)]):
                         cuts.setdefault((int(ids[a]), int(rows[a])), []).append((lo[a:z], hi[a:z]))
-                elif kind == DONE:
-                    out += [(i, n, [], digest, None) for i, n, digest in got]
+                elif kind == COPIES:
+                    ids, sizes = _unpack(raw)
+                    out += [whole(i, n) for i, n in zip(ids.tolist(), sizes.tolist())]
+                elif kind == TEXTS:
+                    ids, digest, *_ = _unpack(raw)
+                    for i, d in zip(ids.tolist(), digest.tolist()):
+                        seen[d] = min(i, seen.get(d, i))
+                    raws.append(raw)
+            if out:
+                yield result(out)
+                out = []
+        for raw in raws:
+            for i, d, times, data in _texts(raw):
+                if i > seen[d] and len(data) >= length:
+                    out += [whole(i, len(data))] * times
                 else:
-                    ids, sizes, data = got
-                    at = 0
-                    for i, n in zip(ids.tolist(), sizes):
-                        out.append(cut(i, data[at : at + n], cuts))
-                        at += n
+                    out += [cut(i, d, data, cuts)] * times
             if out:
                 yield result(out)
+                out = []
+
+    def whole(i, n):
+        """A copy of an earlier text."""
+        return i, n, [{"start": 0, "end": n}], hashlib.sha256(b"").hexdigest(), b""
 
-    def cut(i, data, cuts):
-        row = int.from_bytes(hashlib.blake2b(data, digest_size=4).digest(), "little")
-        found = cuts.get((i, row))
+    def cut(i, digest, data, cuts):
+        found = cuts.get((i, digest))
         if not found:
             return i, len(data), [], hashlib.sha256(data).hexdigest(), data
         lo = np.concatenate([f[0] for f in found]).astype(np.int64)
@@ -496,12 +570,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(docs[id_col].cast("long"), docs[text_col].cast("string"))
     by = lambda df: by_bucket(df, parts)
     sent = by(rows.mapInArrow(_send_anchors(length, gram, buckets), _ROW)).mapInArrow(_find_repeated(buckets), _ROW)
-    texts = rows.mapInArrow(_send_texts(buckets), _ROW)
-    at_home = by(sent.unionByName(texts)).sortWithinPartitions("kind")
-    fragments = at_home.mapInArrow(_send_fragments(length, gram, buckets, text), _ROW)
+    texts = rows.mapInArrow(_send_texts(length, buckets), _ROW)
+    at_home = by(sent.unionByName(texts))
+    fragments = at_home.mapInArrow(_send_fragments(length, gram, buckets), _ROW)
     sorted_ = by(fragments).mapInArrow(_sort_fragments(length, buckets), _ROW)
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     fields = [T.StructField(id_col, T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("spans", span), T.StructField("kept_sha256", T.StringType())]
     if text:
         fields.append(T.StructField("kept", T.BinaryType()))
-    return by(sorted_).sortWithinPartitions("kind").mapInArrow(_unite(length, text, [f.name for f in fields]), T.StructType(fields))
+    return by(sorted_.unionByName(texts)).mapInArrow(_unite(length, text, [f.name for f in fields]), T.StructType(fields))
