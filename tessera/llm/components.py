@@ -4,11 +4,13 @@ Large-star: every neighbour larger than a node moves to the node's smallest
 neighbour; small-star: a node's smaller neighbours move to the smallest of them.
 Both are one aggregation and one join; the join has plain shuffles on both sides
 so adaptive execution splits a hot node.  Rounds repeat until no edge changes,
-about log(n) times; every round is a written table, so nothing is recomputed.
+about log(n) times, after each partition has thinned its own edges to a forest;
+every round is a written table, so nothing is recomputed.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,10 +33,35 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v")))
 
 
+def _forest(edges: DataFrame) -> DataFrame:
+    """Edges enough to connect what each partition's edges connect."""
+
+    def run(batches):
+        parent: dict = {}
+
+        def root(x):
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for batch in batches:
+            keep = []
+            for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                a, b = root(u), root(v)
+                keep.append(a != b)
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return edges.select("u", "v").mapInArrow(run, edges.select("u", "v").schema)
+
+
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """(u, v) edges between comparable ids -> (node, component), component the
     smallest id reachable.  Nodes that are smallest themselves are left out."""
-    now = settle(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), label)
+    placed = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
+    now = settle(_forest(placed).distinct(), label)
     before = None
     while True:
         now = settle(_small_star(_large_star(now)).distinct(), label)

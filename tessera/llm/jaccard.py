@@ -50,7 +50,7 @@ from .components import components
 SHINGLE = 5
 PERCENT = 80
 FREQUENT = 1 << 20
-STAR = 32
+STAR = 8
 PARTNERS = 256
 BLOCK = 2048
 BROADCAST_IDS = 100_000
