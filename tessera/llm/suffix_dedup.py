@@ -566,7 +566,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     exclusive), kept_sha256, and with ``text`` also ``kept``, the bytes left."""
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    buckets = 4 * parts
+    buckets = parts
     rows = docs.select(docs[id_col].cast("long"), docs[text_col].cast("string"))
     by = lambda df: by_bucket(df, parts)
     sent = by(rows.mapInArrow(_send_anchors(length, gram, buckets), _ROW)).mapInArrow(_find_repeated(buckets), _ROW)
