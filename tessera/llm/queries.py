@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import new_path
 from ..sources.tables import table
-from . import decontam, exact_dedup, html_main, jaccard, lm_score, packing, suffix_dedup, toxicity, warc
+from . import decontam, exact_dedup, html_main, jaccard, lm_score, packing, passage_dedup, suffix_dedup, toxicity, warc
 
 
 def op1_suffix_dedup(spark, sf_dir):
@@ -36,6 +36,10 @@ def op6_decontaminate(spark, sf_dir):
     )
 
 
+def op3_passage_dedup(spark, sf_dir):
+    return passage_dedup.passages(table(spark, sf_dir, "documents"))
+
+
 def packed(docs):
     """Pieces of whole documents, with the digest of their ids."""
     return packing.pack(docs).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -73,7 +77,7 @@ def op10_toxicity(spark, sf_dir):
     return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
-QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_exact_dedup": op2_exact_dedup, "op4_packing": op4_packing, "op5_warc": op5_warc, "op6_decontaminate": op6_decontaminate, "op7_jaccard_join": op7_jaccard_join, "op8_html_extraction": op8_html_extraction, "op9_lm_scoring": op9_lm_scoring, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_exact_dedup": op2_exact_dedup, "op3_passage_dedup": op3_passage_dedup, "op4_packing": op4_packing, "op5_warc": op5_warc, "op6_decontaminate": op6_decontaminate, "op7_jaccard_join": op7_jaccard_join, "op8_html_extraction": op8_html_extraction, "op9_lm_scoring": op9_lm_scoring, "op10_toxicity": op10_toxicity}
 
 _OP2 = r"""
     WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
