@@ -23,11 +23,12 @@ documents link when their sets' Jaccard similarity is at least ``PERCENT``/100.
 5. *Overlaps.*  For the pairs left the overlap is accumulated over all columns,
    from the texts, in blocks of at most ``PARTNERS`` rows against one row.
 6. *Long columns.*  A column with more than ``STAR`` classes (a large group of
-   near copies) is first multiplied with its smallest class alone.  Components of
-   the links found are taken, and then only pairs of different components that
-   share a long column are multiplied, in blocks of ``BLOCK`` classes: no link
-   between components is lost, and the pairs inside a component that is known
-   already need not be formed.
+   near copies) is first multiplied with its smallest class alone, then in
+   ``ROUNDS`` rounds a few pairs of different components are tried for each row,
+   and components grow by the links found.  The last round multiplies, in blocks
+   of ``BLOCK`` classes, all pairs that are in different components still and
+   share a long column: no link between components is lost, and pairs inside a
+   component that is known need not be formed.
 
 Cases: a null or empty text, or one of white space, has an empty set and is
 linked with nothing; repeated rows of an id are members of a class each; a null
@@ -37,9 +38,11 @@ id; an empty table gives an empty result; other columns are left alone.
 
 from __future__ import annotations
 
+from zlib import crc32
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,6 +56,9 @@ FREQUENT = 1 << 20
 STAR = 8
 PARTNERS = 256
 BLOCK = 2048
+ROUNDS = 3
+PICKS = 4
+COLUMNS = 3
 BROADCAST_IDS = 100_000
 
 _NOT_SPACE = ~K.SPACE
@@ -385,8 +391,10 @@ class _Block:
         return out
 
 
-def _multiply_long(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components in each (h, x, y): a column's blocks x and y."""
+def _multiply_long(rows: DataFrame, percent: int, picks: int | None = None, salt: int = 0) -> DataFrame:
+    """Pairs of different components in each (h, x, y): a column's blocks x and y.
+
+    All that their sketches let link, or ``picks`` of each row's."""
     names = ["h", "x", "y", "second", "rep", "c", "n", "pos", "sketch"]
 
     def run(batches):
@@ -412,11 +420,20 @@ def _multiply_long(rows: DataFrame, percent: int) -> DataFrame:
             return
         block = _Block(held)
         second = np.array(held["second"], bool)
-        a, b = [], []
         same = held["x"][0] == held["y"][0]
-        late = np.flatnonzero(second)
-        for i in np.arange(len(second)) if same else np.flatnonzero(~second):
-            for j in block.partners(int(i), np.arange(i + 1, len(second)) if same else late, percent):
+        size = np.bincount(block.component)
+        small = block.component != int(np.argmax(size))  # pairs inside the largest component are none
+        a, b = [], []
+        for i in np.flatnonzero(small if same else ~second):
+            i = int(i)
+            if same:
+                others = np.flatnonzero(~small | (np.arange(len(small)) > i)) if picks is None else np.arange(len(small))
+            else:
+                others = np.flatnonzero(second)
+            found = block.partners(i, others, percent)
+            if picks is not None and len(found) > picks:
+                found = sorted(found, key=lambda j: crc32(repr((salt, *sorted((block.rep[i], block.rep[j])))).encode()))[:picks]
+            for j in found:
                 x, y = block.rep[i], block.rep[j]
                 a.append(min(x, y))
                 b.append(max(x, y))
@@ -453,32 +470,54 @@ class JaccardJoin:
         self.tested = settle(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "jaccard-pairs")
         self.links = settle(_verify(self.tested, self.docs, self.k, self.percent), "jaccard-links")
 
-    def _labels(self, links: DataFrame) -> DataFrame:
-        return components(links.select(F.col("b").alias("u"), F.col("a").alias("v")), "jaccard-components")
-
-    def _across(self, labels: DataFrame) -> DataFrame:
-        """Pairs of different components that share a long column."""
-        long = self.product.where("long_column").select("h", F.col("sa").alias("sig"), F.col("na").alias("n"), "pos")
-        long = long.join(self.classes, ["sig", "n"])
-        long = long.join(labels, long["rep"] == labels["node"], "left").select("h", "rep", "n", "pos", "sketch", F.coalesce("component", "rep").alias("c"))
-        long = settle(long, "jaccard-long")
+    def _merge(self, labels: DataFrame | None, links: DataFrame) -> DataFrame:
+        """(node, component) after more links; classes by themselves have no row."""
+        edges = links.select(F.col("b").alias("u"), F.col("a").alias("v"))
+        if labels is None:
+            return settle(components(edges, "jaccard-components"), "jaccard-labels")
+        for end in ("u", "v"):
+            of = labels.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
+            edges = edges.join(of, end, "left").withColumn(end, F.coalesce(f"c{end}", end)).drop(f"c{end}")
+        step = settle(components(edges, "jaccard-components"), "jaccard-step")
+        root = step.select(F.col("node").alias("component"), F.col("component").alias("root"))
+        moved = labels.join(root, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+        return settle(moved.unionByName(step), "jaccard-labels")
+
+    def _across(self, labels: DataFrame, picks: int | None, salt: int) -> DataFrame:
+        """Pairs of different components that share a long column and are not tested."""
+        long = self.long.join(labels, self.long["rep"] == labels["node"], "left").drop("node").withColumn("c", F.coalesce("component", "rep")).drop("component")
+        if picks is not None:  # a few of each class's columns are enough to grow components
+            by = Window.partitionBy("rep").orderBy(F.xxhash64("h", F.lit(salt)))
+            long = long.withColumn("__n", F.row_number().over(by)).where(F.col("__n") <= COLUMNS).drop("__n")
         sizes = long.groupBy("h").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
         long = long.join(sizes.where("c1 <> c2").select("h", "blocks"), "h").withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
         # a row takes part in the product of its block with every block of the column
         long = long.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         long = long.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other"), "second": F.col("own") > F.col("other")})
-        pairs = _multiply_long(long, self.percent).distinct()
+        pairs = _multiply_long(long, self.percent, picks, salt).distinct()
         return pairs.join(self.tested, ["a", "b"], "left_anti")
 
+    def _grow(self) -> DataFrame:
+        """Labels of all classes that are linked."""
+        labels = self._merge(None, self.links)
+        if self.star is None or self.product.where("long_column").isEmpty():
+            return labels
+        long = self.product.where("long_column").select("h", F.col("sa").alias("sig"), F.col("na").alias("n"), "pos")
+        self.long = settle(long.join(self.classes, ["sig", "n"]).select("h", "rep", "n", "pos", "sketch"), "jaccard-long")
+        for salt in range(ROUNDS + 1):
+            picks = PICKS if salt < ROUNDS else None
+            more = settle(self._across(labels, picks, salt), "jaccard-across")
+            if more.isEmpty():
+                continue
+            found = settle(_verify(more, self.docs, self.k, self.percent), "jaccard-links")
+            self.tested = self.tested.unionByName(more)
+            self.links = self.links.unionByName(found)
+            labels = self._merge(labels, found)
+        return labels
+
     def components(self) -> DataFrame:
         """id, n_shingles, component_id (smallest id reachable by links)."""
-        labels = self._labels(self.links)
-        if self.star is not None and not self.product.where("long_column").isEmpty():
-            more = settle(self._across(labels), "jaccard-across")
-            if not more.isEmpty():
-                found = settle(_verify(more, self.docs, self.k, self.percent), "jaccard-links")
-                self.links = self.links.unionByName(found)
-                labels = self._labels(self.links)
+        labels = self._grow()
         marked = self.classes.join(labels, self.classes["rep"] == labels["node"], "left").select("sig", "n", F.coalesce("component", "rep").alias("component"))
         marked = settle(marked, "jaccard-marked")
         out = self.members.join(marked, ["sig", "n"], "left")
