@@ -56,7 +56,7 @@ FREQUENT = 1 << 20
 STAR = 8
 PARTNERS = 256
 BLOCK = 2048
-ROUNDS = 3
+ROUNDS = 2
 PICKS = 4
 COLUMNS = 3
 BROADCAST_IDS = 100_000

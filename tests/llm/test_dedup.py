@@ -211,7 +211,8 @@ def test_sketches_never_overstate_the_difference():
         assert jaccard._differ(x, y) <= len(np.setxor1d(a, b))
 
 
-def test_components_of_a_long_chain(spark):
+@pytest.mark.parametrize("small", [100, 0])
+def test_components_of_a_long_chain(spark, small):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)]
-    got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "u long, v long").repartition(5)).collect()}
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "u long, v long").repartition(5), small=small).collect()}
     assert got == {i: 0 for i in range(1, 41)} | {101: 100}
