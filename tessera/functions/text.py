@@ -54,6 +54,11 @@ def fnv1a(text: Column) -> Column:
     return F.aggregate(code_units(F.coalesce(text, F.lit(""))), F.lit(FNV_SEED).cast("long"), step)
 
 
+def uint32(number: Column) -> Column:
+    """A number as an unsigned 32-bit id."""
+    return number.cast("long").bitwiseAND(F.lit(UINT32).cast("long"))
+
+
 def fnv1a_many(texts: list[str]) -> np.ndarray:
     """The same hash of many texts: all advance one code unit at a time, longest
     first, so each step is one array operation."""

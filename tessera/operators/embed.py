@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import math
 import random
+import re
 import time
 import urllib.error
 import urllib.request
@@ -88,8 +89,6 @@ class MockEmbedder(Embedder):
     name = "mock"
 
     def batch(self, texts):
-        import re
-
         tokens = [re.findall("[a-z0-9]+", t.lower()) for t in texts]
         flat = fnv1a_many([t for own in tokens for t in own]) % MOCK_DIM
         row = np.repeat(np.arange(len(texts)), [len(own) for own in tokens])
@@ -134,7 +133,8 @@ class HttpEmbedder(Embedder):
                     refused += 1
                     wait = retry_after(e.headers) or refusal_wait(refused, self.first_wait_s)
                     if waited + wait > self.budget_s:
-                        raise RequestError(429, "the embedding provider keeps refusing") from e
+                        who = limiter(e.headers, e.read().decode("utf-8", "replace"))
+                        raise RequestError(429, f"the embedding provider keeps refusing ({who} limit) after {readable(waited * 1000)}") from e
                 elif e.code < 500:
                     raise RequestError(502, f"the embedding provider answered {e.code}") from e
             except (urllib.error.URLError, TimeoutError) as e:
@@ -154,12 +154,46 @@ def refusal_wait(refused: int, first_s: float = 0.5) -> float:
     return min(120.0, first_s * 2 ** (refused - 1)) * (1 + 0.1 * random.random())
 
 
-def retry_after(headers) -> float | None:
-    """Seconds that a refusal's header asks for."""
+LONGEST_WAIT_S = 600.0
+
+
+def reset_wait(value, now_s: float) -> float | None:
+    """Seconds until a limit resets.  The header's unit isn't fixed: of seconds
+    from now, epoch seconds and epoch milliseconds the first that gives a
+    plausible wait counts."""
     try:
-        return min(600.0, max(0.0, float(headers.get("Retry-After"))))
+        x = float(value)
     except (TypeError, ValueError):
         return None
+    readings = (x, x - now_s, x / 1000 - now_s)
+    return next((w for w in readings if x > 0 and 0 < w <= LONGEST_WAIT_S), None)
+
+
+def retry_after(headers, now_s: float | None = None) -> float | None:
+    """Seconds that a refusal's headers ask for, if any."""
+    try:
+        return min(LONGEST_WAIT_S, max(0.0, float(headers.get("Retry-After"))))
+    except (TypeError, ValueError):
+        return reset_wait(headers.get("X-RateLimit-Reset"), time.time() if now_s is None else now_s)
+
+
+def limiter(headers, body: str = "") -> str:
+    """Who refused: "account" (limit headers, or a body that says so), "upstream"
+    (another provider's answer, relayed) or "unknown".  Headers decide first."""
+    if any(headers.get(f"X-RateLimit-{k}") for k in ("Limit", "Remaining", "Reset")):
+        return "account"
+    relayed = re.match(r'\s*(\{\s*"error".*)?HTTP \d{3}:', body) or re.search(r'\\"type\\":\s*\\"\w*rate', body)
+    if relayed:
+        return "upstream"
+    return "account" if re.search(r'"error_type"\s*:\s*"rate_limit_exceeded"', body) else "unknown"
+
+
+def readable(ms: float) -> str:
+    """A duration for people: milliseconds below a second, tenths below ten."""
+    n = max(0, round(ms))
+    if n < 1000:
+        return f"{n}ms"
+    return f"{n / 1000:.1f}s" if n % 1000 and n < 10_000 else f"{round(n / 1000)}s"
 
 
 @dataclass

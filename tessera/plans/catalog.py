@@ -27,13 +27,17 @@ ENTITIES = ("SRC0 ", "src7", " ")
 # --- inputs ----------------------------------------------------------------
 
 
-def _corpus(spark: SparkSession, sf: str) -> DataFrame:
+def _base(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with their vectors."""
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("collection"), "text", F.array("source").alias("entities"))
-    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return docs.join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), "id")
+
+
+def _corpus(spark: SparkSession, sf: str) -> DataFrame:
     labels = table(spark, sf, "labels").select(F.col("doc_id").alias("id"), (F.col("quality") * 7 + F.col("toxic") * 5).cast("double").alias("importance"))
     stamp = F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast(ts as timestamp_ntz))").cast("double")
     events = table(spark, sf, "events").select(F.col("event_id").alias("id"), stamp.alias("ts_ms"))
-    return docs.join(vectors, "id").join(labels, "id", "left").join(events, "id", "left")
+    return _base(spark, sf).join(labels, "id", "left").join(events, "id", "left")
 
 
 def _queries(corpus: DataFrame, single: bool = False) -> DataFrame:
@@ -47,9 +51,9 @@ def _requests(queries: DataFrame) -> DataFrame:
 
 
 def _pool(spark: SparkSession, sf: str):
-    corpus = _corpus(spark, sf)
-    queries = _queries(corpus)
-    return search.candidates(corpus, queries, 40), queries
+    base = _base(spark, sf)
+    queries = _queries(base)
+    return search.candidates(base.drop("entities"), queries, 40), queries
 
 
 def _r(c, digits: int = 6):
@@ -95,14 +99,14 @@ def cosine_topk_per_collection(spark, sf):
 
 
 def dense_threshold(spark, sf):
-    corpus = _corpus(spark, sf)
-    found = search.candidates(corpus, _queries(corpus), TOP_K, 0.1)
+    base = _base(spark, sf)
+    found = search.candidates(base, _queries(base), TOP_K, 0.1)
     return found.select("query_id", "collection", "id", F.col("pos").cast("long").alias("pos"), _r("dense").alias("dense"))
 
 
 def dense_multi_query_merge(spark, sf):
-    corpus = _corpus(spark, sf)
-    return search.dense(corpus, _queries(corpus), TOP_K).select("request_id", "collection", "id", _r("dense").alias("dense"), F.col("rank").cast("long").alias("rank"))
+    base = _base(spark, sf)
+    return search.dense(base, _queries(base), TOP_K).select("request_id", "collection", "id", _r("dense").alias("dense"), F.col("rank").cast("long").alias("rank"))
 
 
 def bm25_scores(spark, sf):
@@ -128,9 +132,9 @@ def dual_signal_bonus(spark, sf):
 
 
 def _hybrid(spark, sf, single):
-    corpus = _corpus(spark, sf)
-    queries = _queries(corpus, single)
-    hits = search.hybrid(corpus, queries, TOP_K, NOW_MS, _requests(queries))
+    base = _base(spark, sf)
+    queries = _queries(base, single)
+    hits = search.hybrid(_corpus(spark, sf), queries, TOP_K, NOW_MS, _requests(queries), vectors=base)
     return hits.select("request_id", "collection", "id", F.col("rank").cast("long").alias("rank"), _r("final_score").alias("final_score"), _r("dense_best").alias("dense_score"), _r("bm25_best").alias("bm25_score"))
 
 

@@ -10,15 +10,16 @@ from ..functions.vector import clamped
 from ..operators import knn, rank
 
 
-def candidates(rows: DataFrame, queries: DataFrame, k: int, threshold: float = 0.0) -> DataFrame:
+def candidates(rows: DataFrame, queries: DataFrame, k: int, threshold: float = 0.0, vectors: DataFrame | None = None) -> DataFrame:
     """Candidate lists: the best k rows of each query and collection, clamped
     score at least the threshold.
 
     rows: id, collection, vector and payload columns; queries: request_id,
     query_id, query_text, vector, collections (in list order; one that is named
     twice counts twice).  Only ids and similarities pass the top-k; payloads are
-    joined to what is left."""
-    best = knn.top_k(rows, queries, k)
+    joined to what is left.  ``vectors`` gives id, collection and vector by
+    themselves where ``rows`` is a join that the scan for neighbours can do without."""
+    best = knn.top_k(rows if vectors is None else vectors, queries, k)
     asked = queries.select("request_id", "query_id", F.posexplode("collections").alias("place", "collection"))
     found = best.join(asked, ["query_id", "collection"]).withColumn("dense", clamped(F.col("cosine"))).where(F.col("dense") >= threshold)
     pos = F.row_number().over(Window.partitionBy("request_id", "query_id").orderBy("place", "rank")) - 1
@@ -26,15 +27,15 @@ def candidates(rows: DataFrame, queries: DataFrame, k: int, threshold: float = 0
     return found.join(rows.drop("vector"), ["collection", "id"])
 
 
-def hybrid(rows: DataFrame, queries: DataFrame, top_k: int, now_ms: float, requests: DataFrame | None = None, weights: dict = WEIGHTS, half_life_days: float = rank.HALF_LIFE_DAYS) -> DataFrame:
+def hybrid(rows: DataFrame, queries: DataFrame, top_k: int, now_ms: float, requests: DataFrame | None = None, weights: dict = WEIGHTS, half_life_days: float = rank.HALF_LIFE_DAYS, vectors: DataFrame | None = None) -> DataFrame:
     """Dense and keyword ranks fused over a request's sub-queries, boosted once,
     best top_k of each request.  requests: request_id, wanted (entities)."""
-    lists = candidates(rows, queries, candidate_k(top_k))
+    lists = candidates(rows, queries, candidate_k(top_k), vectors=vectors)
     scored = rank.rrf(rank.bm25(lists, queries), weights)
     requests = requests if requests is not None else queries.select("request_id").distinct().withColumn("wanted", F.array().cast("array<string>"))
     return rank.cut(rank.boosted(rank.fuse(scored), requests, now_ms, weights, half_life_days), "final_score", top_k)
 
 
-def dense(rows: DataFrame, queries: DataFrame, top_k: int, threshold: float = 0.0) -> DataFrame:
+def dense(rows: DataFrame, queries: DataFrame, top_k: int, threshold: float = 0.0, vectors: DataFrame | None = None) -> DataFrame:
     """Best rows by similarity alone, a floor on the score, each row once."""
-    return rank.best_dense(candidates(rows, queries, top_k, threshold), top_k)
+    return rank.best_dense(candidates(rows, queries, top_k, threshold, vectors), top_k)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hmac
 import os
 import re
 
@@ -23,3 +24,15 @@ def read_env(path: str, environ: dict | None = None) -> dict[str, str]:
                 value = value[1:-1]
             out[found.group(1)] = value
     return out | dict(os.environ if environ is None else environ)
+
+
+def redact(value):
+    """A secret as it may be logged: its ends, or nothing of a short one."""
+    if not isinstance(value, str):
+        return value
+    return f"{value[:4]}...{value[-2:]}" if len(value) > 8 else "***"
+
+
+def same_secret(given: str, expected: str) -> bool:
+    """Comparison whose time doesn't tell where two secrets differ."""
+    return hmac.compare_digest(given.encode(), expected.encode())

@@ -41,6 +41,11 @@ def test_null_text_hashes_as_empty(spark):
     assert tuple(row) == (2166136261, 2166136261)
 
 
+def test_uint32(spark):
+    df = spark.createDataFrame([(-1,), (2**32 + 5,)], "x long")
+    assert [r[0] for r in df.select(X.uint32(F.col("x"))).collect()] == [2**32 - 1, 5]
+
+
 def test_trim_strips_every_unicode_blank(spark):
     df = spark.createDataFrame([(" ﻿\t mid dle   \n",)], "t string")
     assert df.select(X.js_trim(F.col("t"))).first()[0] == "mid dle"

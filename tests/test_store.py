@@ -128,6 +128,22 @@ def test_env_file(tmp_path):
     assert config.read_env(str(tmp_path / "none"), {}) == {}
 
 
+def test_secrets():
+    assert config.redact("sk-1234567890") == "sk-1...90" and config.redact("short") == "***" and config.redact(7) == 7
+    assert config.same_secret("a", "a") and not config.same_secret("a", "b") and not config.same_secret("a", "aa")
+
+
+def test_refusals_are_read():
+    now = 1_700_000_000.0
+    assert E.reset_wait("30", now) == 30 and E.reset_wait(now + 12, now) == 12 and E.reset_wait((now + 5) * 1000, now) == pytest.approx(5)
+    assert E.reset_wait("later", now) is None and E.reset_wait(-1, now) is None and E.reset_wait(now + 9000, now) is None
+    assert E.retry_after({"Retry-After": "2"}) == 2 and E.retry_after({"X-RateLimit-Reset": "9"}, now) == 9 and E.retry_after({}) is None
+    assert E.limiter({"X-RateLimit-Limit": "5"}, "HTTP 429: busy") == "account" and E.limiter({}, "HTTP 429: busy") == "upstream"
+    assert E.limiter({}, '{"error_type": "rate_limit_exceeded"}') == "account" and E.limiter({}, "no") == "unknown"
+    assert [E.readable(x) for x in (250, 1500, 2000, 12_400, -3)] == ["250ms", "1.5s", "2s", "12s", "0ms"]
+    assert all(0.5 * 2 ** (n - 1) <= E.refusal_wait(n) <= 0.55 * 2 ** (n - 1) for n in range(1, 8)) and E.refusal_wait(20) <= 132
+
+
 def test_batch_plans():
     assert E.plan_batches([60, 60, 1], 64, 100) == [[0], [1, 2]]
     assert E.plan_batches([500, 1], 64, 100) == [[0], [1]]
