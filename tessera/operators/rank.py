@@ -30,21 +30,29 @@ def bm25(candidates: DataFrame, queries: DataFrame) -> DataFrame:
     """Adds ``bm25``: the keyword score within each list's own pool.
 
     queries: request_id, query_id, query_text.  Document frequencies and the mean
-    length are those of the pool, token-less candidates included.  Tokens are
-    made once a candidate; only its matches with query terms are exploded."""
+    length are those of the pool, token-less candidates included.
+
+    One pass: every candidate's tokens are exploded behind a mark that carries the
+    candidate itself, and the join with the query's words (which hold the mark as
+    well) keeps the mark and the matches."""
+    mark = F.lit("\x00")
+    words = queries.select(*LIST, F.explode(F.array_distinct(F.concat(tokenize(F.col("query_text")), F.array(mark)))).alias("term"))
     pool = Window.partitionBy(*LIST)
-    words = queries.select(*LIST, F.array_distinct(tokenize(F.col("query_text"))).alias("__words"))
-    base = candidates.join(words, LIST, "left").withColumn("__tokens", tokenize(F.col("text")))
-    base = base.withColumns({"__dl": F.size("__tokens").cast("double"), "__n": F.count("*").over(pool).cast("double")})
-    mean = F.sum("__dl").over(pool) / F.col("__n")
-    base = base.withColumn("__mean", F.coalesce(F.nullif(mean, F.lit(0.0)), F.lit(1.0)))
-    matched = base.select(*LIST, "pos", "__dl", "__n", "__mean", F.explode(F.filter("__tokens", lambda t: F.array_contains(F.col("__words"), t))).alias("term"))
-    tf = matched.groupBy(*LIST, "pos", "term").agg(F.count("*").cast("double").alias("tf"), *[F.first(c).alias(c) for c in ("__dl", "__n", "__mean")])
+    tokens = candidates.withColumn("__tokens", tokenize(F.col("text")))
+    tokens = tokens.withColumns({"__dl": F.size("__tokens").cast("double"), "__n": F.count("*").over(pool).cast("double")})
+    mean = F.coalesce(F.nullif(F.sum("__dl").over(pool) / F.col("__n"), F.lit(0.0)), F.lit(1.0))
+    tokens = tokens.withColumn("__mean", mean)
+    own = [c for c in candidates.columns if c not in (*LIST, "pos")]
+    flat = tokens.select(*LIST, "pos", "__dl", "__n", "__mean", *own, F.posexplode(F.concat(F.array(mark), F.col("__tokens"))).alias("__i", "term"))
+    flat = flat.select(*LIST, "pos", "term", "__dl", "__n", "__mean", F.when(F.col("__i") == 0, F.struct(*own)).alias("__own"))
+    tf = flat.join(words, [*LIST, "term"]).groupBy(*LIST, "pos", "term", "__dl", "__n", "__mean").agg(F.count("*").cast("double").alias("tf"), F.first("__own", ignorenulls=True).alias("__own"))
     df = F.count("*").over(Window.partitionBy(*LIST, "term")).cast("double")
+    tf = tf.withColumn("__df", df)
     idf = F.log(1 + (F.col("__n") - F.col("__df") + 0.5) / (F.col("__df") + 0.5))
     part = idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("__dl") / F.col("__mean")))
-    scores = tf.withColumn("__df", df).groupBy(*LIST, "pos").agg(F.sum(part).alias("bm25"))
-    return candidates.join(scores, [*LIST, "pos"], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
+    score = F.sum(F.when(F.col("term") != mark, part).otherwise(0.0)).alias("bm25")
+    scored = tf.groupBy(*LIST, "pos").agg(score, F.first("__own", ignorenulls=True).alias("__own"))
+    return scored.select(*LIST, "pos", "__own.*", "bm25")
 
 
 def ordinal(score: str | Column) -> Column:
