@@ -148,7 +148,9 @@ def _frequent(texts: DataFrame, k: int) -> np.ndarray:
                     parts.append(s)
             if not parts:
                 continue
-            flat = np.sort(np.concatenate(parts))
+            flat = np.concatenate(parts)
+            parts.clear()
+            flat.sort()
             edge = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]]) if len(flat) else np.zeros(0, np.int64)
             n = np.diff(np.r_[edge, len(flat)])
             often = n >= 4

@@ -301,24 +301,26 @@ def _distinct(column, restorer: Restorer) -> list[np.ndarray]:
     return out
 
 
-def cover(toxic: list[np.ndarray], clean: list[np.ndarray], toxic_share: float):
-    """Sequential covering: features and their precision, the rate left over.
-
-    toxic_share: of all labelled rows; the samples stand for their classes."""
-    if not toxic:
-        return np.zeros(0, np.uint64), np.zeros(0), toxic_share
-    flat = np.concatenate(toxic)
-    feature, count = np.unique(flat, return_counts=True)
+def candidates(toxic: list[np.ndarray]) -> tuple[np.ndarray, float]:
+    """The features that enough toxic texts hold, sorted, and how many that is."""
     least = max(LEAST, SUPPORT * len(toxic))
-    feature = feature[count >= least]
+    if not toxic:
+        return np.zeros(0, np.uint64), least
+    feature, count = np.unique(np.concatenate(toxic), return_counts=True)
+    return feature[count >= least], least
+
+
+def cover(feature: np.ndarray, least: float, held: list[np.ndarray], clean: list[np.ndarray], toxic_share: float):
+    """Sequential covering: chosen features, their precision, the rate left over.
+
+    held, clean: places in ``feature`` of each toxic and clean text; toxic_share:
+    of all labelled rows, for which the two samples stand."""
     if not len(feature):
         return np.zeros(0, np.uint64), np.zeros(0), toxic_share
-    held = [_places(x, feature) for x in toxic]
     against = np.zeros(len(feature))
-    clean_held = [_places(x, feature) for x in clean]
-    for x in clean_held:
+    for x in clean:
         against[x] += 1
-    wt = toxic_share / len(toxic)
+    wt = toxic_share / len(held)
     wc = (1 - toxic_share) / max(1, len(clean))
     remain = np.zeros(len(feature))
     for x in held:
@@ -346,15 +348,17 @@ def cover(toxic: list[np.ndarray], clean: list[np.ndarray], toxic_share: float):
         left = rest
         usable[f] = False
     got = np.array(chosen, np.int64)
-    in_clean = sum(1 for x in clean_held if not np.isin(x, got).any())
+    in_clean = sum(1 for x in clean if not np.isin(x, got).any())
     background = (len(left) + 0.5) * wt / ((len(left) + 0.5) * wt + (in_clean + 0.5) * wc)
     order = np.argsort(feature[got])
     return feature[got][order], np.array(odds)[order], min(background, 0.49)
 
 
 def _places(x: np.ndarray, feature: np.ndarray) -> np.ndarray:
+    if not len(feature):
+        return np.zeros(0, np.int32)
     at = np.minimum(np.searchsorted(feature, x), len(feature) - 1)
-    return at[feature[at] == x]
+    return at[feature[at] == x].astype(np.int32)
 
 
 def fit(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> Model:
@@ -371,17 +375,30 @@ def fit(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col:
     share = counts[1] / sum(counts.values())
 
     def learn(batches):
+        """Toxic texts come first; of clean ones only the candidates are kept."""
         restorer = Restorer(cost)
-        parts: dict[int, list] = {0: [], 1: []}
+        toxic: list[np.ndarray] = []
+        clean: list[np.ndarray] = []
+        feature = None
         for batch in batches:
-            labels = batch.column(1).to_pylist()
-            for x, label in zip(_distinct(batch.column(0), restorer), labels):
-                parts[label].append(x)
-        feature, p, background = cover(parts[1], parts[0], share)
-        yield pa.RecordBatch.from_arrays([pa.array([feature.tobytes()], pa.binary()), pa.array([p.tobytes()], pa.binary()), pa.array([background])], names=["f", "p", "b"])
+            for i in range(0, batch.num_rows, 100):
+                part = batch.slice(i, 100)
+                for x, label in zip(_distinct(part.column(0), restorer), part.column(1).to_pylist()):
+                    if label == 1:
+                        toxic.append(x)
+                        continue
+                    if feature is None:
+                        feature, least = candidates(toxic)
+                        toxic = [_places(y, feature) for y in toxic]
+                    clean.append(_places(x, feature))
+        if feature is None:
+            feature, least = candidates(toxic)
+            toxic = [_places(y, feature) for y in toxic]
+        chosen, p, background = cover(feature, least, toxic, clean, share)
+        yield pa.RecordBatch.from_arrays([pa.array([chosen.tobytes()], pa.binary()), pa.array([p.tobytes()], pa.binary()), pa.array([background])], names=["f", "p", "b"])
 
     # the sample has a fixed size, so one task learns; copies of a text teach once
-    one = texts.groupBy("__text").agg(F.max("__label").alias("__label")).coalesce(1)
+    one = texts.groupBy("__text").agg(F.max("__label").alias("__label")).coalesce(1).sortWithinPartitions(F.desc("__label"))
     got = one.mapInArrow(learn, "f binary, p binary, b double").collect()
     if not got:
         return Model(cost)
