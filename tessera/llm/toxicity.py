@@ -159,45 +159,47 @@ DISGUISED = re.compile(
     rf"|(?:{_LETTER}+[{_SIGNS}]|[{_SIGNS}]+{_LETTER})[\w{_SIGNS}]*"
     rf"|\w*({_LETTER})\1\1\w*"
 )
-#: Bytes of which a text without disguised tokens has none: quick look before the pattern.
-_SIGN_BYTES = np.zeros(256, bool)
-_SIGN_BYTES[[b for s in LOOKALIKES for b in s.encode()]] = True
-_JOINER = np.zeros(256, bool)
-_JOINER[[ord(c) for c in " .-_*"]] = True
-_WORDLIKE = np.zeros(256, bool)
-_WORDLIKE[48:58] = _WORDLIKE[65:91] = _WORDLIKE[97:123] = True
-_WORDLIKE[128:] = True
+#: What a character is to the pattern, as bits; read off the pattern's own classes.
+_WORD, _ALPHA, _SIGN, _JOINER, _LOW = 1, 2, 4, 8, 16
+_kinds: list[np.ndarray] = []
+
+
+def _kind_table() -> np.ndarray:
+    """The kinds of every code point; made once a process."""
+    if not _kinds:
+        every = "".join(map(chr, range(0x110000)))
+        kinds = np.zeros(len(every), np.uint8)
+        for bit, pattern in ((_WORD, r"\w"), (_ALPHA, _LETTER), (_SIGN, f"[{_SIGNS}]"), (_JOINER, r"[ .\-_*]"), (_LOW, "_")):
+            for m in re.finditer(f"(?:{pattern})+", every):
+                kinds[m.start() : m.end()] |= bit
+        _kinds.append(kinds)
+    return _kinds[0]
 
 
 def _suspicious(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """Which texts the pattern can match: a sign beside a letter, a byte three
-    times in a row, or three single characters between joiners."""
+    """Which texts the pattern can match: a sign beside a letter, a letter three
+    times in a row, or three single characters between joiners.  None that the
+    pattern matches is left out; texts are parted, so that no run crosses a border."""
     n = len(offs) - 1
+    texts = [data[a:b].tobytes().decode("utf-8", "replace").lower() for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())]
+    place = np.cumsum([1] + [len(t) + 1 for t in texts])  # one past the borders
+    codes = np.frombuffer("\n".join(["", *texts, *[""] * 8]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = _kind_table()[codes]
+    alpha, sign, joiner = (kind & _ALPHA) > 0, (kind & _SIGN) > 0, (kind & _JOINER) > 0
+    hits = [np.flatnonzero((sign[:-1] & alpha[1:]) | (alpha[:-1] & sign[1:]))]
+    same = codes[:-1] == codes[1:]
+    hits.append(np.flatnonzero(alpha[:-2] & same[:-1] & same[1:]))
+    # single characters: the first follows no word, the last is before none (a low line may join on)
+    single, word = (kind & (_WORD | _SIGN)) > 0, (kind & _WORD) > 0
+    last = single[:-1] & ~(word[1:] & ((kind[1:] & _LOW) == 0))
+    first = np.flatnonzero(single[1:-8] & ~word[:-9] & joiner[2:-7]) + 1
+    for s in (2, 3):
+        x = first if s == 2 else first[joiner[first + 2]]
+        x = x[single[x + s] & joiner[x + s + 1]]
+        hits.append(x[last[x + s + 2]])
+        hits.append(x[joiner[x + s + 2] & last[x + s + 3]])
     out = np.zeros(n, bool)
-    if len(data) < 3:
-        return out
-    sign, word = _SIGN_BYTES[data], _WORDLIKE[data]
-    letter = word & ~((data >= 48) & (data < 58))
-    flag = np.zeros(len(data), bool)
-    flag[:-1] |= (sign[:-1] & letter[1:]) | (letter[:-1] & sign[1:])
-    low = K.LOWER[data]
-    flag[:-2] |= letter[:-2] & (low[:-2] == low[1:-1]) & (low[1:-1] == low[2:])
-    # repeats of two-byte letters
-    if len(data) >= 6:
-        wide = data[:-5] >= 0xC0
-        flag[:-5] |= wide & (data[:-5] == data[2:-3]) & (data[2:-3] == data[4:-1]) & (data[1:-4] == data[3:-2]) & (data[3:-2] == data[5:])
-    joiner = _JOINER[data]
-    solo_start = np.flatnonzero((word | sign) & np.r_[True, ~word[:-1]])  # starts of word-like runs
-    if len(solo_start) > 2:
-        run_end = np.flatnonzero((word | sign) & np.r_[~word[1:], True])
-        m = min(len(solo_start), len(run_end))
-        solo_start, run_end = solo_start[:m], run_end[:m]
-        single = (run_end - solo_start) <= 2  # one character of at most three bytes
-        near = np.r_[(solo_start[1:] - run_end[:-1]) <= 3, False] & joiner[np.minimum(run_end + 1, len(data) - 1)]
-        chain = np.flatnonzero(single[:-2] & near[:-2] & single[1:-1] & near[1:-1] & single[2:])
-        flag[solo_start[chain]] = True
-    hits = np.flatnonzero(flag)
-    out[np.searchsorted(offs, hits, "right") - 1] = True
+    out[np.searchsorted(place, np.concatenate(hits), "right") - 1] = True
     return out
 
 

@@ -8,10 +8,12 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import decontam, html_main, lm_score, packing, tokens, toxicity, warc
+from tessera.llm import kernel as K
 
 from .helpers import LOWER, awkward, empty, frame, prose, words
 
@@ -225,6 +227,23 @@ def test_toxicity_learns_and_restores(spark, toxic_table):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, s in got.items() if s < 0.5}
 
 
+def suspicious(texts):
+    data, offs = K.text_bytes(pa.array(texts, pa.string()))
+    return toxicity._suspicious(data, offs).tolist()
+
+
+def test_toxicity_restores_spelled_out_words_after_unbalanced_signs():
+    assert suspicious(["hello!", "$5 $6", "f u c k", "plain words", "so!", "w r e t c h", "", None]) == [True, False, True, False, True, True, False, False]
+    assert suspicious(["ab", "x y z", "a", "b c", "\u0e04\u0e04\u0e04", "\U00010400 \U00010401 \U00010402"]) == [False, True, False, False, True, True]
+
+
+def test_toxicity_quick_look_leaves_out_nothing_that_the_pattern_matches():
+    r = random.Random(7)
+    for _ in range(300):
+        texts = ["".join(r.choice("abc 12.-_*!$5@\u20ac\u00c4\u00e4\u043a\u0130\u03a3\n \u2014") for _ in range(r.randint(0, 14))) for _ in range(30)]
+        assert not [t for t, yes in zip(texts, suspicious(texts)) if not yes and toxicity.DISGUISED.search(t.lower())]
+
+
 def test_toxicity_without_labels_or_rows(spark):
     docs = frame(spark, [(1, "text"), (2, None)])
     none = spark.createDataFrame([], "doc_id long, toxic int")
