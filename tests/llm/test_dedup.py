@@ -136,6 +136,25 @@ def test_every_exact_passage_is_covered(spark):
             assert owner == i or set(range(s, s + 50)) <= covered.get(i, set())
 
 
+def test_passages_inside_a_heavily_revised_copy(spark):
+    steps = [(60, 60, True)] + [(14, 14, True), (6, 6, False)] * 10
+    parts = passage_dedup.best_parts((5, 9), steps, 50, 0.2)
+    assert parts and all(z - a >= 50 and n <= 0.2 * (z - a) for a, z, _, _, n in parts)
+    assert (parts[0][0], parts[0][2]) == (5, 9) and parts[0][1] >= 65
+    # clean runs at both ends and in the middle of revised ones
+    steps = [(14, 14, True), (6, 6, False)] * 10
+    steps = [*steps, (55, 55, True), *[(6, 6, False), (14, 14, True)] * 20, (52, 52, True)]
+    parts = passage_dedup.best_parts((0, 0), steps, 50, 0.2)
+    covered = {x for a, z, _, _, _ in parts for x in range(a, z)}
+    assert set(range(200, 255)) <= covered and set(range(655, 707)) <= covered
+    assert all(z - a >= 50 and n <= 0.2 * (z - a) for a, z, _, _, n in parts)
+    clean, rest = prose(60, 31).split(), prose(200, 32).split()
+    edited = [f"new{i}" if i % 20 >= 14 else w for i, w in enumerate(rest)]
+    got = passage_dedup.passages(frame(spark, [(1, " ".join(clean + rest)), (2, " ".join(clean + edited))])).collect()
+    assert set(range(60)) <= {x for r in got for x in range(r.start, r.end)}
+    assert all(r.edits <= 0.2 * (r.end - r.start) for r in got)
+
+
 def test_chaining_takes_the_best_order():
     # the middle run lies off the order of the others
     chain = passage_dedup.chains([(0, 0, 20), (25, 300, 6), (30, 31, 20), (60, 62, 20)])
