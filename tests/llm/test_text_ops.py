@@ -197,6 +197,16 @@ def test_spelling_is_a_probability():
     assert 0 < total < 1 and s.log10([b"abba"])[0] > s.log10([b"zqzq"])[0]
 
 
+def test_lm_cost_of_long_unknown_words_has_no_floor(spark):
+    r = random.Random(3)
+    junk = "".join(r.choice("0123456789abcdef") for _ in range(20000))
+    docs = frame(spark, [(i, prose(60, i)) for i in range(20)] + [(100, junk[:1000]), (101, junk[:20000]), (102, f"{junk[:1000]} {junk[:1000]}")])
+    got = {x.doc_id: x.score for x in lm_score.scores(docs, F.col("doc_id") >= 100).collect() if x.held_out}
+    assert got[100] < -600 and got[101] == pytest.approx(20 * got[100], rel=0.1)
+    assert got[102] > 1.1 * got[100]  # said again, it is a repeat
+    assert all(math.isfinite(x) for x in got.values())
+
+
 # --- toxicity --------------------------------------------------------------
 
 
