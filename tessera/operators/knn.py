@@ -2,18 +2,22 @@
 
 Queries are a block of bounded size, held by every task; a task multiplies its
 rows by the block and keeps its own best k, so a shuffle carries k rows a query,
-collection and task, however large the table is.  A query block over
-``BLOCK_QUERIES`` is refused: split it and unite the results.
+collection and task, however large the table is.  ``top_k`` takes one block and
+refuses more than ``BLOCK_QUERIES``; ``top_k_of_all`` deals any number of queries
+into blocks and unites their results.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.params import RequestError
+from ..sources.scratch import settle
 
 BLOCK_QUERIES = 4096
 _TIE = 10  # decimals within which similarities count as equal
@@ -49,9 +53,18 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     A vector without a direction (all zeros, or not finite) is no neighbour.
     Similarities equal to ten decimals are tied and ordered by id."""
-    block = queries.select("query_id", "vector").limit(BLOCK_QUERIES + 1).toArrow()
+    block = _first_block(queries)
     if block.num_rows > BLOCK_QUERIES:
         raise RequestError(413, f"more than {BLOCK_QUERIES} queries in one block")
+    return _top_k_of_block(rows, queries, block, k)
+
+
+def _first_block(queries: DataFrame) -> pa.Table:
+    """A block of queries, and one more where there are more."""
+    return queries.select("query_id", "vector").limit(BLOCK_QUERIES + 1).toArrow()
+
+
+def _top_k_of_block(rows: DataFrame, queries: DataFrame, block: pa.Table, k: int) -> DataFrame:
     k = max(1, int(k))
     query_type = rows.sparkSession.createDataFrame([], queries.select("query_id").schema).schema["query_id"].dataType
     schema = f"query_id {query_type.simpleString()}, collection string, id long, cosine double"
@@ -84,3 +97,27 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     found = rows.select(F.col("id").cast("long"), F.col("collection").cast("string"), "vector").mapInArrow(run, schema)
     window = Window.partitionBy("query_id", "collection").orderBy(F.desc("cosine"), "id")
     return found.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
+
+
+def _blocks(queries: DataFrame) -> tuple[DataFrame, int]:
+    """The queries, written with a block number each, and how many blocks there
+    are; none has more than ``BLOCK_QUERIES``.  Rows are dealt, not ids, so equal
+    queries spread too."""
+    numbered = settle(queries.withColumn("__row", F.monotonically_increasing_id()), "knn-queries")
+    blocks = -(-numbered.count() // BLOCK_QUERIES) + 1
+    while True:
+        dealt = numbered.withColumn("__block", F.pmod(F.xxhash64("__row"), F.lit(blocks)))
+        if dealt.groupBy("__block").count().agg(F.max("count")).first()[0] <= BLOCK_QUERIES:
+            return dealt.drop("__row"), blocks
+        blocks += -(-blocks // 4)
+
+
+def top_k_of_all(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """``top_k`` for any number of queries.  Several blocks are run one after
+    another and written, so the driver holds one block at a time."""
+    block = _first_block(queries)
+    if block.num_rows <= BLOCK_QUERIES:
+        return _top_k_of_block(rows, queries, block, k)
+    queries, blocks = _blocks(queries.select("query_id", "vector"))
+    parts = [settle(top_k(rows, queries.where(F.col("__block") == b), k), "knn-block") for b in range(blocks)]
+    return reduce(DataFrame.unionByName, parts)

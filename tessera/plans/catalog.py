@@ -88,13 +88,13 @@ def doc_freq(spark, sf):
 def cosine_topk(spark, sf):
     rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.lit("all").alias("collection"), F.col("embedding").alias("vector"))
     queries = rows.where("id % 100 = 0").select(F.col("id").alias("query_id"), "vector")
-    return knn.top_k(rows, queries, TOP_K).select("query_id", "id", _r("cosine").alias("cosine"), F.col("rank").cast("long").alias("rank"))
+    return knn.top_k_of_all(rows, queries, TOP_K).select("query_id", "id", _r("cosine").alias("cosine"), F.col("rank").cast("long").alias("rank"))
 
 
 def cosine_topk_per_collection(spark, sf):
     rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("collection"), F.col("embedding").alias("vector"))
     queries = rows.where("id % 100 = 0").select(F.col("id").alias("query_id"), "vector")
-    best = knn.top_k(rows, queries, TOP_K)
+    best = knn.top_k_of_all(rows, queries, TOP_K)
     return best.select("query_id", "collection", "id", _r(clamped(F.col("cosine"))).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -236,7 +236,7 @@ def mock_cosine(spark, sf):
     model = embed.MockEmbedder()
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.lit("all").alias("collection"), "text")
     queries = embed.embed(table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text"), model).select("query_id", "vector")
-    best = knn.top_k(embed.embed(docs, model), queries, 3)
+    best = knn.top_k_of_all(embed.embed(docs, model), queries, 3)
     # stored vectors are floats: compare to four decimals, leave ties of the cut alone
     return best.groupBy("query_id").agg(_r(F.max("cosine"), 4).alias("best"), F.count("*").alias("hits"))
 

@@ -19,7 +19,7 @@ def candidates(rows: DataFrame, queries: DataFrame, k: int, threshold: float = 0
     twice counts twice).  Only ids and similarities pass the top-k; payloads are
     joined to what is left.  ``vectors`` gives id, collection and vector by
     themselves where ``rows`` is a join that the scan for neighbours can do without."""
-    best = knn.top_k(rows if vectors is None else vectors, queries, k)
+    best = knn.top_k_of_all(rows if vectors is None else vectors, queries, k)
     asked = queries.select("request_id", "query_id", F.posexplode("collections").alias("place", "collection"))
     found = best.join(asked, ["query_id", "collection"]).withColumn("dense", clamped(F.col("cosine"))).where(F.col("dense") >= threshold)
     pos = F.row_number().over(Window.partitionBy("request_id", "query_id").orderBy("place", "rank")) - 1

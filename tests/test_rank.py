@@ -85,3 +85,25 @@ def test_top_k_ties_zero_vectors_and_dimensions(spark):
         knn.top_k(bad, q, 2).collect()
     with pytest.raises(RequestError):
         knn.top_k(rows, spark.range(5000).select(F.col("id").alias("query_id"), F.array(F.lit(1.0), F.lit(0.0)).alias("vector")), 2)
+
+
+def test_top_k_of_all_deals_queries_into_blocks(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, "ab"[i % 2], [float(i % 7) - 3, float(i % 5) - 2]) for i in range(40)], "id long, collection string, vector array<float>")
+    queries = rows.where("id % 2 = 0 and id not in (10, 24)").select(F.col("id").alias("query_id"), "vector")
+    whole = sorted(map(tuple, knn.top_k(rows, queries, 3).collect()))
+    monkeypatch.setattr(knn, "BLOCK_QUERIES", 4)
+    with pytest.raises(RequestError):
+        knn.top_k(rows, queries, 3)
+    got = knn.top_k_of_all(rows, queries, 3)
+    assert whole and sorted(map(tuple, got.collect())) == whole
+    assert knn.top_k_of_all(rows, queries.limit(0), 3).count() == 0
+
+
+@pytest.mark.parametrize("name", ["cosine_topk", "cosine_topk_per_collection", "hybrid_multi_query", "dense_threshold"])
+def test_queries_beyond_one_block_give_the_same_rows(spark, monkeypatch, name):
+    from tessera.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    want = sorted(map(str, catalog.QUERIES[name](spark, sf).collect()))
+    monkeypatch.setattr(knn, "BLOCK_QUERIES", 3)
+    assert sorted(map(str, catalog.QUERIES[name](spark, sf).collect())) == want
