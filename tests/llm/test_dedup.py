@@ -155,6 +155,31 @@ def test_passages_inside_a_heavily_revised_copy(spark):
     assert all(r.edits <= 0.2 * (r.end - r.start) for r in got)
 
 
+@pytest.mark.parametrize("ids", [(1, 2, 10, 11, 12, 20), (1, 2, 10, 11, 12, 30)])
+def test_exact_passage_whose_parts_are_common_elsewhere(spark, ids):
+    a, b = prose(26, 41), prose(26, 42)
+    texts = [a, b, f"{a} {b}", a, b, f"{a} {b}"]
+    for parts in (1, 6):
+        docs = frame(spark, list(zip(ids, texts))).repartition(parts, "doc_id")
+        got = passage_dedup.passages(docs).collect()
+        assert [(r.source_id, r.start, r.end, r.edits) for r in got if r.doc_id == ids[-1]] == [(10, 0, 52, 0)]
+
+
+def test_every_window_of_spliced_texts_is_covered(spark):
+    piece = [prose(17, 60 + i) for i in range(9)]
+    r = np.random.default_rng(4)
+    rows = [(i, " ".join(piece[x] for x in r.integers(0, 9, 6))) for i in range(80)]
+    covered: dict = {}
+    for x in passage_dedup.passages(frame(spark, rows)).collect():
+        covered.setdefault(x.doc_id, set()).update(range(x.start, x.end))
+    seen: dict = {}
+    for i, t in rows:
+        w = words(t)
+        for s in range(len(w) - 49):
+            owner = seen.setdefault(tuple(w[s : s + 50]), i)
+            assert owner == i or set(range(s, s + 50)) <= covered.get(i, set())
+
+
 def test_chaining_takes_the_best_order():
     # the middle run lies off the order of the others
     chain = passage_dedup.chains([(0, 0, 20), (25, 300, 6), (30, 31, 20), (60, 62, 20)])
