@@ -1,7 +1,8 @@
 """Tables written between two steps, in the folder that the cluster shares.
 
 ``spark.checkpoint.dir`` names that folder; a folder of our own is made only
-where the setting is absent (tests, notebooks).  A written table cuts the
+where the setting is absent in local mode (tests, notebooks), where one machine
+runs everything.  On a cluster its absence is an error.  A written table cuts the
 lineage and survives the loss of any executor.
 """
 
@@ -22,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="tessera-"))
     return _own[0]
