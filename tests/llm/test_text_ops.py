@@ -287,7 +287,7 @@ def test_pipeline_stages(spark, tmp_path):
         after = spark.read.parquet(f"{sf}/stage{k}")
         gone.append({r.doc_id for r in docs.select("doc_id").exceptAll(after.select("doc_id")).collect()})
         docs = after
-    assert gone == [{i for i, _ in toxic}, {51, 56}, {52}, {53}]
+    assert gone == [{i for i, _ in toxic}, {51, 56}, {52}, {53, 54}]  # one item is enough
     pieces = P.STAGES[-1][1](spark, docs, sf)
     assert {r.doc_id for r in pieces.collect()} == {r.doc_id for r in docs.collect()}
     assert P.run(spark, sf).count() == pieces.count()
