@@ -10,8 +10,8 @@ documents link when their sets' Jaccard similarity is at least ``PERCENT``/100.
 2. *Columns.*  All sets follow one order of the shingles, frequent ones last.
    Linked sets share a shingle among the first n - ceil(t n) + 1 of each, so
    only these columns are multiplied.  (The frequent shingles are at most
-   ``FREQUENT`` of those counted over all documents; they only steer the order,
-   every order gives the same links.)
+   ``FREQUENT`` of those counted over all documents, chosen by a table of count
+   levels; they only steer the order, every order gives the same links.)
 3. *Blocks.*  Each task packs its entries of a column block into one array; a
    block's entries meet in one task, are sorted by shingle and multiplied.  A
    pair is discarded when its sizes, or its positions in the two sets, bound the
@@ -30,10 +30,16 @@ documents link when their sets' Jaccard similarity is at least ``PERCENT``/100.
    share a long column: no link between components is lost, and pairs inside a
    component that is known need not be formed.
 
+Equal sets are told by their size and two 64-bit signatures, 128 bits beside the
+size; the entries of the product carry one of them, and every pair is verified
+by its texts.
+
 Cases: a null or empty text, or one of white space, has an empty set and is
-linked with nothing; repeated rows of an id are members of a class each; a null
-id stays alone in its result row with a null component unless its class has an
-id; an empty table gives an empty result; other columns are left alone.
+linked with nothing; an id is one node, so rows that repeat an id with different
+texts are in one component, whichever of them has the links (the texts of one id
+are held together when its pairs are verified); a null id stays alone in its
+result row with a null component unless its class has an id; an empty table
+gives an empty result; other columns are left alone.
 """
 
 from __future__ import annotations
@@ -92,6 +98,10 @@ def _signature(s: np.ndarray) -> int:
     return int(np.sum(K.mix(s * np.uint64(0xFF51AFD7ED558CCD) + np.uint64(1)), dtype=np.uint64).astype(np.int64)) if len(s) else 0
 
 
+def _second_signature(s: np.ndarray) -> int:
+    return int(np.sum(K.mix(s ^ np.uint64(0x9FB21C651E98DF25)), dtype=np.uint64).astype(np.int64)) if len(s) else 0
+
+
 def _sketch(s: np.ndarray) -> bytes:
     """Parity of the set's shingles in each of 2**j >= 2 n cells."""
     cells = max(64, 1 << (2 * len(s) - 1).bit_length()) if len(s) else 64
@@ -120,16 +130,16 @@ def _possible(na, nb, differ, percent):
 
 
 def members(docs: DataFrame, id_col: str, text_col: str, k: int = SHINGLE) -> DataFrame:
-    """id, n (size of the set), sig and sketch of every document."""
+    """id, n (size of the set), its signatures and sketch of every document."""
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("t"))
 
     def run(batches):
         for batch in batches:
-            got = [(len(s), _signature(s), _sketch(s)) for s in _sets(batch.column(1), k)]
-            columns = [pa.array([g[i] for g in got], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", "n", "sig", "sketch"])
+            got = [(len(s), _signature(s), _second_signature(s), _sketch(s)) for s in _sets(batch.column(1), k)]
+            columns = [pa.array([g[i] for g in got], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", "n", "sig", "sig2", "sketch"])
 
-    fields = [T.StructField("n", T.LongType()), T.StructField("sig", T.LongType()), T.StructField("sketch", T.BinaryType())]
+    fields = [T.StructField("n", T.LongType()), T.StructField("sig", T.LongType()), T.StructField("sig2", T.LongType()), T.StructField("sketch", T.BinaryType())]
     return rows.mapInArrow(run, T.StructType([rows.schema["id"], *fields]))
 
 
@@ -156,9 +166,23 @@ def _frequent(texts: DataFrame, k: int) -> np.ndarray:
             often = n >= 4
             yield pa.RecordBatch.from_arrays([pa.array(flat[edge][often].view(np.int64)), pa.array(n[often])], names=["h", "n"])
 
-    top = texts.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(FREQUENT)
-    table = top.toArrow()
-    return table["h"].to_numpy().view(np.uint64)[::-1].copy()
+    counted = settle(texts.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "jaccard-counts")
+    # by powers of 2**(1/8) of the count: a few hundred rows at most
+    level = F.floor(F.log2("n") * 8)
+    levels = counted.groupBy(level.alias("level")).agg(F.count("*").alias("m")).orderBy(F.desc("level")).collect()
+    room, least, share = FREQUENT, None, 1.0
+    for r in levels:
+        least, share = r["level"], min(1.0, room / r["m"])
+        room -= r["m"]
+        if room <= 0:
+            break
+    if least is None:
+        return np.zeros(0, np.uint64)
+    in_share = F.pmod(F.xxhash64("h"), F.lit(1 << 20)) < int(share * (1 << 20) * 0.99)  # of the last level, a share that surely fits
+    whole = (level > least) | ((level == least) & (F.lit(share >= 1.0) | in_share))
+    table = counted.where(whole).toArrow()
+    h, n = table["h"].to_numpy().view(np.uint64), table["n"].to_numpy()
+    return h[np.lexsort((h, n))]
 
 
 def _need(n: int, percent: int) -> int:
@@ -189,7 +213,7 @@ def _entries(texts: DataFrame, order, k: int, percent: int, blocks: int) -> Data
     """Packed matrix entries (shingle, sig, n, position) by column block."""
 
     def run(batches):
-        known: set[tuple[int, int]] = set()
+        known: set[tuple[int, int, int]] = set()
         for batch in batches:
             hs, sigs, sizes = [], [], []
             for s in _sets(batch.column(0), k):
@@ -197,9 +221,10 @@ def _entries(texts: DataFrame, order, k: int, percent: int, blocks: int) -> Data
                 if not n:
                     continue
                 sig = _signature(s)
-                if (n, sig) in known:
+                key = (n, sig, _second_signature(s))
+                if key in known:
                     continue
-                known.add((n, sig))
+                known.add(key)
                 hs.append(order.value.prefix(s, n - _need(n, percent) + 1))
                 sigs.append(sig)
                 sizes.append(n)
@@ -319,18 +344,21 @@ def _verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
     id_type = rows.schema["id"].dataType
 
     def run(batches):
-        head, key = None, None
+        heads, key = {}, None
         for batch in batches:
             a, part, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
             out = []
             for x, p, i, s in zip(a, part, ids, _sets(batch.column(3), k)):
-                if i == x:
-                    head, key = s, (x, p)
+                if i == x:  # the rows of the id itself come first
+                    if key != (x, p):
+                        heads, key = {}, (x, p)
+                    heads[_signature(s), len(s)] = s
                     continue
                 assert key == (x, p)
-                both = len(np.intersect1d(head, s, assume_unique=True))
-                if 100 * both >= percent * (len(head) + len(s) - both):
-                    out.append((x, i, both))
+                found = [len(np.intersect1d(head, s, assume_unique=True)) for head in heads.values()]
+                best = [both for both, head in zip(found, heads.values()) if both and 100 * both >= percent * (len(head) + len(s) - both)]
+                if best:
+                    out.append((x, i, max(best)))
             if out:
                 kind = batch.schema.field(0).type
                 yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], kind), pa.array([o[1] for o in out], kind), pa.array([o[2] for o in out], pa.int64())], names=["a", "b", "overlap"])
@@ -456,7 +484,7 @@ class JaccardJoin:
         self.docs = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("t"))
         self.id_col = id_col
         self.members = settle(members(docs, id_col, text_col, shingle), "jaccard-members")
-        self.classes = settle(self.members.where("n > 0").groupBy("sig", "n").agg(F.min("id").alias("rep"), F.min("sketch").alias("sketch")), "jaccard-classes")
+        self.classes = settle(self.members.where("n > 0").groupBy("sig", "n", "sig2").agg(F.min("id").alias("rep"), F.min("sketch").alias("sketch")), "jaccard-classes")
         self._multiply()
 
     def _multiply(self) -> None:
@@ -499,9 +527,17 @@ class JaccardJoin:
         pairs = _multiply_long(long, self.percent, picks, salt).distinct()
         return pairs.join(self.tested, ["a", "b"], "left_anti")
 
+    def _of_one_id(self) -> DataFrame:
+        """Edges (a, b) from an id that has several sets to their classes."""
+        sets = self.members.where("n > 0 and id is not null")
+        key = F.struct("sig", "n", "sig2")
+        several = settle(sets.groupBy("id").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).where("lo <> hi").select("id"), "jaccard-several")
+        met = sets.join(several, "id", "left_semi").join(self.classes.select("sig", "n", "sig2", "rep"), ["sig", "n", "sig2"])
+        return met.select(F.least("rep", "id").alias("a"), F.greatest("rep", "id").alias("b")).where("a <> b").distinct()
+
     def _grow(self) -> DataFrame:
         """Labels of all classes that are linked."""
-        labels = self._merge(None, self.links)
+        labels = self._merge(None, self.links.select("a", "b").unionByName(self._of_one_id()))
         if self.star is None or self.product.where("long_column").isEmpty():
             return labels
         long = self.product.where("long_column").select("h", F.col("sa").alias("sig"), F.col("na").alias("n"), "pos")
@@ -520,9 +556,9 @@ class JaccardJoin:
     def components(self) -> DataFrame:
         """id, n_shingles, component_id (smallest id reachable by links)."""
         labels = self._grow()
-        marked = self.classes.join(labels, self.classes["rep"] == labels["node"], "left").select("sig", "n", F.coalesce("component", "rep").alias("component"))
+        marked = self.classes.join(labels, self.classes["rep"] == labels["node"], "left").select("sig", "n", "sig2", F.coalesce("component", "rep").alias("component"))
         marked = settle(marked, "jaccard-marked")
-        out = self.members.join(marked, ["sig", "n"], "left")
+        out = self.members.join(marked, ["sig", "n", "sig2"], "left")
         return out.select(F.col("id").alias(self.id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
@@ -533,11 +569,14 @@ def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def links_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> tuple[DataFrame, DataFrame]:
     """All links between classes (a, b, overlap; a and b the classes' smallest
-    ids), and the membership (id, class_id, n_shingles)."""
+    ids), and the membership (id, class_id, n_shingles).  Every pair of classes
+    that share a column is formed, so a column of many near copies costs the
+    square of their number: that many links are asked for."""
     join = JaccardJoin(docs, id_col, text_col, star=None, **options)
-    reps = join.classes.select("sig", "n", "rep")
-    membership = join.members.join(reps, ["sig", "n"], "left")
-    return join.links, membership.select(F.col("id").alias(id_col), F.coalesce("rep", "id").alias("class_id"), F.col("n").alias("n_shingles"))
+    reps = join.classes.select("sig", "n", "sig2", "rep")
+    membership = join.members.join(reps, ["sig", "n", "sig2"], "left")
+    links = join.links.groupBy("a", "b").agg(F.max("overlap").alias("overlap"))  # an id with several texts may link twice
+    return links, membership.select(F.col("id").alias(id_col), F.coalesce("rep", "id").alias("class_id"), F.col("n").alias("n_shingles"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
