@@ -2,12 +2,14 @@
 
 import hashlib
 import itertools
+import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from tessera.llm import components, exact_dedup, jaccard, passage_dedup, suffix_dedup
+from tessera.llm import components, exact_dedup, jaccard, packed, passage_dedup, suffix_dedup
 
 from .helpers import awkward, empty, frame, prose, words
 
@@ -88,6 +90,42 @@ def test_suffix_dedup_of_rows_that_repeat_an_id(spark):
     assert suffix_dedup.remove_repeats(empty(spark)).count() == 0
 
 
+def in_tasks(step, rows):
+    """The rows that a step gives for the rows of one task."""
+    return [r for batch in step(iter(rows)) for r in zip(*(c.to_pylist() for c in batch.columns))]
+
+
+def by_bucket(sent):
+    groups: dict = {}
+    for r in sent:
+        groups.setdefault(r[0], []).append(r)
+    return [[packed.rows(g)] for g in groups.values()]
+
+
+def suffix_steps(tables, length, gram, buckets=3):
+    """The operator's steps, one task after another."""
+    batches = [[pa.RecordBatch.from_arrays([pa.array([i for i, _ in t], pa.int64()), pa.array([x for _, x in t], pa.string())], names=["id", "t"])] for t in tables]
+    sent = [r for b in batches for r in in_tasks(suffix_dedup._send_anchors(length, gram, buckets), b)]
+    again = [r for g in by_bucket(sent) for r in in_tasks(suffix_dedup._find_repeated(buckets), g)]
+    texts = [r for b in batches for r in in_tasks(suffix_dedup._send_texts(length, buckets), b)]
+    pieces = [r for g in by_bucket(again + texts) for r in in_tasks(suffix_dedup._send_fragments(length, gram, buckets), g)]
+    gone = [r for g in by_bucket(pieces) for r in in_tasks(suffix_dedup._sort_fragments(length, buckets), g)]
+    return [r for g in by_bucket(gone + texts) for r in in_tasks(suffix_dedup._unite(length, True, list("abcde")), g)]
+
+
+@pytest.mark.parametrize("clash", [False, True])
+def test_suffix_dedup_compares_texts_of_one_digest(monkeypatch, clash):
+    if clash:
+        monkeypatch.setattr(suffix_dedup, "_digests", lambda data, offs: np.zeros(len(offs) - 1, np.int64))
+    base = prose(60, 5)
+    rows = [(1, "A" * 150), (2, "B" * 150), (3, base), (4, base), (5, "new " + base), (6, "B" * 150), (7, ""), (8, None), (9, "short"), (10, "short"), (6, "B" * 150)]
+    want = sorted((i, n, gone, digest) for (i, _), (n, gone, digest) in zip(rows, brute_repeats([r for r in rows], 100)))
+    for tables in ([rows], [rows[:2], rows[2:5], rows[5:]], [[r] for r in rows]):
+        got = sorted((i, n, sum(s["end"] - s["start"] for s in spans), digest) for i, n, spans, digest, _ in suffix_steps(tables, 100, 24))
+        assert [g for g in got if g[0] != 6] == [w for w in want if w[0] != 6]
+        assert [g[2] for g in got if g[0] == 6] == [150, 150]
+
+
 def test_suffix_sort_orders_and_survives_hash_collisions(monkeypatch):
     rng = np.random.default_rng(2)
     data = rng.integers(97, 99, 900).astype(np.uint8)
@@ -180,6 +218,50 @@ def test_every_window_of_spliced_texts_is_covered(spark):
             assert owner == i or set(range(s, s + 50)) <= covered.get(i, set())
 
 
+def passage_steps(tables, buckets=4, words=50, edits=0.2):
+    """The operator's steps, one task after another."""
+    batches = [pa.RecordBatch.from_arrays([pa.array([i for i, _ in t], pa.int64()), pa.array([x for _, x in t])], names=["id", "t"]) for t in tables if t]
+    P = passage_dedup
+    sent = [r for b in batches for r in in_tasks(P._send_seeds(P.SEED, P.SAMPLE, words, buckets), [b])]
+    met = [r for g in by_bucket(sent) for r in in_tasks(P._match_seeds(P.SEED, words, buckets), g)]
+    chained = [r for g in by_bucket(met) for r in in_tasks(P._chain(P.SEED, words, buckets), g)]
+    texts = [r for b in batches for r in in_tasks(P._send_texts(buckets), [b])]
+    cut = [r for g in by_bucket(chained + texts) for r in in_tasks(P._cut(buckets), g)]
+    return [r for g in by_bucket(cut) for r in in_tasks(P._align(words, edits, list("abcdefg")), g)]
+
+
+def test_exact_passages_are_found_however_the_table_is_dealt():
+    p = prose(60, 91).split()
+    texts = {1: p, 10: p[:47], 11: p[13:], 12: p, 13: p[:47], 14: p[13:]}
+    rows = [(i, " ".join(t)) for i, t in texts.items()]
+    for tables in ([rows], [rows[:1], rows[1:]], [[r] for r in rows], [rows[::2], rows[1::2]], [rows[3:], rows[:3]]):
+        assert [r[:4] + r[6:] for r in passage_steps(tables)] == [(12, 1, 0, 60, 0)]
+
+
+@pytest.mark.parametrize("size, rate, least", [(50, 0.0, 1.0), (50, 0.04, 0.85), (60, 0.05, 0.95), (80, 0.1, 0.8), (100, 0.1, 0.8)])
+def test_recall_of_edited_passages(size, rate, least):
+    """Passages with changed words, planted in texts that share nothing else,
+    dealt over several tasks; the share of them that is covered to four fifths."""
+    rng = random.Random(size)
+    vocabulary = [f"w{i}" for i in range(20000)]
+    draw = lambda n: [vocabulary[min(int(rng.paretovariate(0.6)), 19999)] for _ in range(n)]
+    n, rows, truth = 120, [], {}
+    for i in range(n):
+        passage, before = draw(size), rng.randint(20, 100)
+        rows.append((i, " ".join(draw(30) + passage + draw(40))))
+        changed = list(passage)
+        for at in rng.sample(range(1, size - 1), int(rate * size)):
+            changed[at] = f"edit{rng.randrange(10**6)}"
+        rows.append((n + i, " ".join(draw(before) + changed + draw(25))))
+        truth[n + i] = (before, before + size)
+    covered: dict = {}
+    for r in passage_steps([rows[k::5] for k in range(5)]):
+        covered.setdefault(r[0], set()).update(range(r[2], r[3]))
+    assert all(i >= n for i in covered)
+    found = sum(len(covered.get(i, set()) & set(range(a, z))) >= 0.8 * size for i, (a, z) in truth.items())
+    assert found >= least * n
+
+
 def test_chaining_takes_the_best_order():
     # the middle run lies off the order of the others
     chain = passage_dedup.chains([(0, 0, 20), (25, 300, 6), (30, 31, 20), (60, 62, 20)])
@@ -245,6 +327,26 @@ def test_jaccard_keeps_one_of_each_group(spark):
     assert jaccard.components_of(empty(spark)).count() == jaccard.keep_one(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("order", [1, -1])
+def test_jaccard_of_ids_that_name_several_texts(spark, order):
+    a, b, c = (prose(80, 700 + i) for i in range(3))
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (9, c), (8, c + " word"), (8, prose(50, 710)), (0, prose(50, 710)), (1, None)]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.components_of(frame(spark, rows[::order]).repartition(3)).collect())
+    assert got == [(0, 46, 0), (1, 0, 1), (1, 76, 1), (1, 76, 1), (2, 77, 1), (3, 77, 1), (8, 46, 0), (8, 77, 0), (9, 76, 0)]
+    links, _ = jaccard.links_of(frame(spark, rows[::order]))
+    assert {(r.a, r.b) for r in links.collect()} >= {(1, 2), (1, 3), (8, 9)}
+
+
+def test_frequent_shingles_are_the_most_frequent(spark, monkeypatch):
+    text = lambda i: f"{prose(6, 1)} {prose(20, i)}"
+    docs = frame(spark, [(i, text(i)) for i in range(50)] + [(60 + i, prose(12, 3) + f" x{i}") for i in range(20)])
+    for most, want in [(1 << 20, 10), (5, 2), (0, 0)]:
+        monkeypatch.setattr(jaccard, "FREQUENT", most)
+        found = jaccard._frequent(docs.select("text").coalesce(1), 5)
+        assert len(found) == len(set(found.tolist())) and len(found) <= max(most, 0)
+        assert len(found) >= min(want, 2)
+
+
 def test_sketches_never_overstate_the_difference():
     rng = np.random.default_rng(0)
     for n, m, both in [(50, 60, 40), (400, 500, 390), (3, 200, 3), (1, 1, 0)]:

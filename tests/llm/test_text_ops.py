@@ -120,23 +120,51 @@ def brute_contamination(docs, items):
     return out
 
 
-@pytest.mark.parametrize("limit", [10**6, 0])
+@pytest.mark.parametrize("limit", [10**8, 0])
 def test_contamination(spark, limit):
     item = prose(30, 50)
     items = [(1, item), (2, prose(8, 51)), (10, "Solo"), (3, "two-words"), (4, None), (5, "!!"), (None, prose(9, 52)), (2, prose(12, 53)), (1, item)]
     docs = awkward()[:12] + [(70, prose(40, 1) + " " + item.upper().replace(" ", ", ") + " end"), (71, "solo, TWO words; solo"), (72, prose(8, 51) + " " + prose(9, 52)), (73, " ".join(item.split()[3:10])), (74, prose(3000, 8) + " " + prose(12, 53))]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontam.contamination(frame(spark, docs), bench, broadcast_windows=limit).collect()
+    got = decontam.contamination(frame(spark, docs), bench, broadcast_bytes=limit).collect()
     want = brute_contamination(docs, items)
     assert len(got) == len(docs)
     for r in got:
         hit = sum(s["last"] - s["first"] + 1 for s in r.spans)
         assert (r.n_words, hit, r["items"]) == want[r.doc_id], r.doc_id
-    kept = decontam.decontaminate(frame(spark, docs), bench, broadcast_windows=limit)
+    kept = decontam.decontaminate(frame(spark, docs), bench, broadcast_bytes=limit)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, w in want.items() if len(w[2]) < 2)
     assert kept.columns == frame(spark, docs).columns
-    assert decontam.contamination(frame(spark, docs), bench.limit(0), broadcast_windows=limit).where(F.size("items") > 0).count() == 0
-    assert decontam.contamination(empty(spark), bench, broadcast_windows=limit).count() == 0
+    assert decontam.contamination(frame(spark, docs), bench.limit(0), broadcast_bytes=limit).where(F.size("items") > 0).count() == 0
+    assert decontam.contamination(empty(spark), bench, broadcast_bytes=limit).count() == 0
+
+
+def test_contamination_compares_words_where_hashes_clash(monkeypatch):
+    """With hashes that say only how many words there are, the words decide."""
+    item, other = prose(12, 81), prose(12, 82)
+    texts = [prose(9, 83) + " " + item, other, prose(30, 84), "", other.upper() + "; " + item]
+    flat = lambda words, k: np.zeros(max(len(words) - k + 1, 0), np.uint64)
+    monkeypatch.setattr(decontam.K, "gram_hashes", flat)
+    rows = []
+    for i, t in (("1", item), ("2", other)):
+        w = t.split()
+        rows += [(0, 0, 8, i, " ".join(w[j : j + 8]).encode()) for j in range(len(w) - 7)]
+    table = pa.table(dict(zip(("fingerprint", "hash", "words", "item", "text"), map(list, zip(*rows)))))
+    _, spans, items = decontam._scan(pa.array(texts), decontam._Index(table, 8, 5))
+    assert items == [["1"], ["2"], [], [], ["1", "2"]]
+    assert spans == [[{"first": 9, "last": 20}], [{"first": 0, "last": 11}], [], [], [{"first": 0, "last": 23}]]
+
+
+def test_contamination_by_a_shuffle_after_a_shuffle(spark):
+    """Rows without an id of their own, dealt anew whenever they are computed."""
+    item = prose(40, 85)
+    rows = [(i % 3, prose(30, i) + (" " + item if i % 4 == 0 else "")) for i in range(60)] + [(5, "go " * 200)]
+    docs = frame(spark, rows).repartition(7)
+    bench = spark.createDataFrame([(1, item), (2, "go " * 12), (3, "go " * 9)], "item_id long, text string")
+    kept = decontam.decontaminate(docs, bench, min_items=1, broadcast_bytes=0)
+    assert sorted(r.text for r in kept.collect()) == sorted(t for i, t in rows if i != 5 and item not in t)
+    got = decontam.contamination(docs, bench, broadcast_bytes=0).where("doc_id = 5").first()
+    assert (got.n_words, [tuple(s) for s in got.spans], got["items"]) == (200, [(0, 199)], ["2", "3"])
 
 
 # --- pages -----------------------------------------------------------------
