@@ -8,10 +8,12 @@ payloads of at least ``LEAST`` bytes are shared.  Reading verifies every payload
 against its digest and rebuilds the original records by joining headers with
 payloads.
 
-An archive folder holds WARC/1.1 files: ``payloads/`` the responses, at most
-``FILE_RECORDS`` a file, ``headers/`` the revisits.  A record ends in CR LF CR
-LF, which is the line end given to Spark's text writer; files are read whole and
-cut by Content-Length, so a payload may hold any text.
+An archive folder holds WARC/1.1 files: ``payloads/`` the responses, about
+``FILE_BYTES`` a file by the mean payload, ``headers/`` the revisits.  A record
+ends in CR LF CR LF, which is the line end given to Spark's text writer and
+reader, so files are read as streams: a task puts the pieces together again by
+Content-Length and holds one record and a batch, however long a file is, and a
+payload may hold any text.
 
 The grouping combines equal payloads in each task before its one shuffle, so a
 payload of a third of all pages arrives once a task.  The join of headers with
@@ -25,9 +27,8 @@ revisit it; an empty table gives an empty archive; other columns aren't archived
 
 from __future__ import annotations
 
-import gzip
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,7 +36,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 LEAST = 1000
-FILE_RECORDS = 2000
+FILE_BYTES = 32 << 20
+HEADS_A_FILE = 100_000
+#: Records and bytes that are handed on at a time.
+_ROWS, _BYTES = 500, 8 << 20
 _END = "\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -70,7 +74,7 @@ def _save(records: DataFrame, path: str, file_records: int) -> None:
     records.write.option("lineSep", _END).option("maxRecordsPerFile", file_records).option("compression", "gzip").text(path)
 
 
-def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", *, least: int = LEAST, date: str = "1970-01-01T00:00:00Z", file_records: int = FILE_RECORDS) -> None:
+def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", *, least: int = LEAST, date: str = "1970-01-01T00:00:00Z", file_bytes: int = FILE_BYTES) -> None:
     """Archive a table in a new folder of a file system that the cluster shares."""
     spark = pages.sparkSession
     rows = pages.select(
@@ -81,7 +85,8 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     shared = rows.where("large").groupBy("sha256", "payload").agg(F.max(F.struct("id", "url")).alias("own")).select("own.id", "own.url", "payload", "sha256")
     responses = shared.unionByName(rows.where("not large").select("id", "url", "payload", "sha256"))
     kind = ("Content-Type", F.lit("application/http; msgtype=response"))
-    _save(responses.select(_record("response", [*_head(date), kind], _http("payload"))), f"{path}/payloads", file_records)
+    mean = rows.agg(F.avg(F.octet_length("payload"))).first()[0] or 0.0
+    _save(responses.select(_record("response", [*_head(date), kind], _http("payload"))), f"{path}/payloads", max(1, int(file_bytes / (mean + 600))))
 
     # the responses as archived say which record stands for a digest
     keepers = parse(spark, f"{path}/payloads", payload=False).where(F.col("payload_bytes") >= least)
@@ -95,24 +100,37 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     again = again.withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
     refers = F.concat(F.lit("<urn:page:"), F.coalesce(F.col("own.id").cast("string"), F.lit("null")), F.lit(">"))
     lines = [*_head(date), ("WARC-Profile", F.lit(_PROFILE)), ("WARC-Refers-To", refers)]
-    _save(again.select(_record("revisit", lines, F.lit(""))), f"{path}/headers", file_records * 100)
-
-
-def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of each record of a WARC file's bytes."""
-    at, end = 0, _END.encode()
-    while at < len(data):
-        stop = data.index(end, at)
-        lines = data[at:stop].decode("utf-8").split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError("not a WARC record")
-        head = dict(x.split(": ", 1) for x in lines[1:])
-        first = stop + len(end)
-        last = first + int(head["Content-Length"])
-        if data[last : last + len(end)] != end:
-            raise ValueError("a record's length is wrong")
-        yield head, data[first:last]
-        at = last + len(end)
+    _save(again.select(_record("revisit", lines, F.lit(""))), f"{path}/headers", HEADS_A_FILE)
+
+
+def records(pieces: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers and block of each record of WARC files, given as the pieces between
+    their CR LF CR LFs."""
+    end = _END.encode()
+    held, head, first, need = bytearray(), {}, 0, 0  # need: bytes of the record that is being read
+    for piece in pieces:
+        held += piece
+        held += end
+        while held and len(held) >= need:
+            if not need:
+                if held.startswith(end):  # a payload that ends in CR LF shifts the last cut of a file
+                    del held[: len(end)]
+                    continue
+                stop = held.index(end)
+                lines = held[:stop].decode("utf-8").split("\r\n")
+                if not lines[0].startswith("WARC/"):
+                    raise ValueError("not a WARC record")
+                head = dict(x.split(": ", 1) for x in lines[1:])
+                first = stop + len(end)
+                need = first + int(head["Content-Length"]) + len(end)
+            if len(held) >= need:
+                if held[need - len(end) : need] != end:
+                    raise ValueError("a record's length is wrong")
+                yield head, bytes(held[first : need - len(end)])
+                del held[:need]
+                need = 0
+    if held:
+        raise ValueError("the last record is cut short")
 
 
 def _page(value: str | None) -> int | None:
@@ -134,27 +152,26 @@ def parse(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
     def run(batches):
-        rows = []
-        for batch in batches:
-            for content in batch.column(0):
-                raw = content.as_py()
-                for head, block in records(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw):
-                    digest = head["WARC-Payload-Digest"].removeprefix("sha256:")
-                    common = (_page(head["WARC-Record-ID"]), head["WARC-Target-URI"], head["WARC-Type"])
-                    if head["WARC-Type"] == "response":
-                        body = block[block.index(_END.encode()) + 4 :]
-                        if hashlib.sha256(body).hexdigest() != digest:
-                            raise ValueError(f"damaged payload: {head['WARC-Record-ID']}")
-                        rows.append((*common, None, digest, hashlib.sha1(body).hexdigest(), len(body), body.decode("utf-8") if payload else None))
-                    else:
-                        rows.append((*common, _page(head["WARC-Refers-To"]), digest, None, None, None))
-                    if len(rows) >= 500:
-                        yield table(rows)
-                        rows = []
+        rows, size = [], 0
+        pieces = (x.as_py() for batch in batches for x in batch.column(0).cast(pa.binary()))
+        for head, block in records(pieces):
+            digest = head["WARC-Payload-Digest"].removeprefix("sha256:")
+            common = (_page(head["WARC-Record-ID"]), head["WARC-Target-URI"], head["WARC-Type"])
+            if head["WARC-Type"] == "response":
+                body = block[block.index(_END.encode()) + 4 :]
+                if hashlib.sha256(body).hexdigest() != digest:
+                    raise ValueError(f"damaged payload: {head['WARC-Record-ID']}")
+                rows.append((*common, None, digest, hashlib.sha1(body).hexdigest(), len(body), body.decode("utf-8") if payload else None))
+                size += len(body) * payload
+            else:
+                rows.append((*common, _page(head["WARC-Refers-To"]), digest, None, None, None))
+            if len(rows) >= _ROWS or size >= _BYTES:
+                yield table(rows)
+                rows, size = [], 0
         if rows:
             yield table(rows)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    files = spark.read.option("lineSep", _END).option("pathGlobFilter", "*.gz").text(path)
     return files.mapInArrow(run, T.StructType([T.StructField(n, k) for n, k in _PARSED]))
 
 
