@@ -91,10 +91,24 @@ def test_warc_notices_damage_and_takes_empty_tables(spark, tmp_path):
     warc.write(spark.createDataFrame([], "page_id long, url string, html string"), path)
     assert warc.read(spark, path).count() == 0
     whole = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
-    assert [b for _, b in warc.records(whole * 2)] == [b"abc"] * 2
-    for bad in (whole[:-2], whole.replace(b"3", b"2"), b"HTTP" + whole[4:]):
+    pieces = lambda data: data.removesuffix(b"\r\n\r\n").split(b"\r\n\r\n")
+    assert [b for _, b in warc.records(pieces(whole * 2))] == [b"abc"] * 2
+    for bad in (whole[:-2], whole.replace(b"3", b"2"), b"HTTP" + whole[4:], whole + whole[:-6], whole.replace(b"3", b"9")):
         with pytest.raises(ValueError):
-            list(warc.records(bad))
+            list(warc.records(pieces(bad)))
+
+
+def test_warc_of_large_payloads_and_odd_line_ends(spark, tmp_path):
+    odd = ["\r\n", "a\r\n", "b\r", "\n", "\r\n\r\n", "c\r\n\r\n\r\n", "\r\n\r\n\r\n\r\nd\r", "WARC/1.1\r\nContent-Length: 0\r\n\r\n", "e" + "\r\n" * 7, "\ud7ff\U00010400 é"]
+    rows = [(i, f"http://o/{i}", x) for i, x in enumerate(odd)] + [(100 + i, "u", x * 700) for i, x in enumerate(odd)]
+    rows += [(200 + i, "big", f"{i % 3} " + "page\r\n\r\n" * 150_000) for i in range(7)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for size in (1, 4 << 20):
+        path = f"file://{tmp_path}/odd{size}"
+        warc.write(pages.repartition(3), path, file_bytes=size)
+        got = warc.read(spark, path).collect()
+        assert collections.Counter((r.id, r.url, r.payload) for r in got) == collections.Counter(rows)
+        assert {r.id for r in got if r.record_type == "response" and r.id >= 200} == {204, 205, 206}
 
 
 # --- decontamination -------------------------------------------------------
