@@ -12,7 +12,8 @@ at equal offsets, so equal windows meet where their anchors meet:
    task sends the first of those it has several times.  Anchors that occur in two
    places are sent to their documents.  Copies of a text count as one place: a
    text's home is its digest's, where the copy with the smallest id stands for
-   all (the bytes are compared) and the others are removed whole.
+   all and the others are removed whole.  Wherever texts of one digest meet, their
+   bytes are compared; different texts are documents each.
 2. *Fragments*: a document sends, for each repeated anchor, the bytes of the
    windows that pick it.  Equal fragments of a task are sent once.
 3. *Suffix sort*: in a bucket the suffixes that start a window are sorted, those
@@ -101,18 +102,20 @@ def _digests(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
 def _distinct(data: np.ndarray, offs: np.ndarray, ids: np.ndarray, length: int):
     """Of a batch's equal texts the first by id: their places and digests, how
     often the same id repeats the text, and the places of the other copies.
-    Texts shorter than ``length`` are all first ones."""
-    digest = _digests(data, offs)
+    Texts shorter than ``length`` are all first ones, and so are texts that only
+    share a digest with another."""
+    digest, size = _digests(data, offs), np.diff(offs)
     order = np.lexsort((ids, digest))
     new = np.r_[True, digest[order][1:] != digest[order][:-1]] if len(order) else np.zeros(0, bool)
     head = np.flatnonzero(new)
     group = np.cumsum(new) - 1
-    same = ids[order] == ids[order][head][group] if len(order) else new
+    equal = _same_bytes(data, offs[:-1][order], size[order], group)
+    same = equal & (ids[order] == ids[order][head][group]) if len(order) else new
     times = np.bincount(group[same], minlength=len(head))
-    other = order[~same]
-    short = np.diff(offs)[other] < length
-    first = np.r_[order[head], other[short]]
-    return first, digest[first], np.r_[times, np.ones(short.sum(), np.int64)], other[~short]
+    copy = equal & ~same & (size[order] >= length)
+    alone = ~same & ~copy
+    first = np.r_[order[head], order[alone]]
+    return first, digest[first], np.r_[times, np.ones(int(alone.sum()), np.int64)], order[copy]
 
 
 def _send_anchors(length: int, gram: int, buckets: int):
@@ -211,10 +214,44 @@ def _texts(raw: bytes):
         yield i, d, t, data[end - n : end]
 
 
+class _Home:
+    """The texts of a home, read in two rounds so that they stay packed."""
+
+    def __init__(self):
+        self.raws: list[bytes] = []
+        self.rows: dict[int, int] = {}
+
+    def add(self, raw: bytes) -> None:
+        for d in _unpack(raw)[1].tolist():
+            self.rows[d] = self.rows.get(d, 0) + 1
+        self.raws.append(raw)
+
+    def judged(self):
+        """(id, digest, times, text, stands) for every row: ``stands`` is 0 where the
+        row stands for its text, 1 for a repeat with the same id, 2 for a copy."""
+        least: dict[tuple[int, bytes], int] = {}
+        for raw in self.raws:
+            for i, d, _, text in _texts(raw):
+                if self.rows[d] > 1:
+                    least[d, text] = min(i, least.get((d, text), i))
+        done: set[tuple[int, bytes]] = set()
+        for raw in self.raws:
+            for i, d, times, text in _texts(raw):
+                stands = 0
+                if self.rows[d] > 1:
+                    if i > least[d, text]:
+                        stands = 2
+                    elif (d, text) in done:
+                        stands = 1
+                    else:
+                        done.add((d, text))
+                yield i, d, times, text, stands
+
+
 def _send_fragments(length: int, gram: int, buckets: int):
     def run(batches):
         known: list = []
-        held: dict[int, tuple[int, bytes]] = {}
+        held: list[tuple[int, int, bytes]] = []
         size = 0
 
         def lists():
@@ -223,42 +260,34 @@ def _send_fragments(length: int, gram: int, buckets: int):
             by = np.argsort(keys, kind="stable")
             return keys[by], places[by]
 
-        wanted = None
-        seen: dict[int, int] = {}
-        raws: list[bytes] = []
+        home = _Home()
         for batch in batches:
             for kind, raw in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 if kind == REPEATED:
                     known.append(_unpack(raw))
-                elif kind == TEXTS:  # the smallest id of each digest first, then the texts
-                    ids, digest, *_ = _unpack(raw)
-                    for i, d in zip(ids.tolist(), digest.tolist()):
-                        seen[d] = min(i, seen.get(d, i))
-                    raws.append(raw)
+                elif kind == TEXTS:
+                    home.add(raw)
         wanted = lists()
-        done: set[int] = set()
-        for raw in raws:
-            for i, d, _, text in _texts(raw):
-                if i != seen[d] or d in done or len(text) < length:
-                    continue
-                done.add(d)
-                at = int(np.searchsorted(wanted[0], d))
-                if at < len(wanted[0]) and wanted[0][at] == d:
-                    held[d] = (i, text)
-                    size += len(text)
+        for i, d, _, text, stands in home.judged():
+            if stands or len(text) < length:
+                continue
+            at = int(np.searchsorted(wanted[0], d))
+            if at < len(wanted[0]) and wanted[0][at] == d:
+                held.append((i, d, text))
+                size += len(text)
             if size >= GATHER:
                 yield from send(held, wanted)
-                held, size = {}, 0
+                held, size = [], 0
         yield from send(held, wanted)
 
     def send(held, wanted):
         if not held:
             return
         keys, places = wanted
-        digest = np.array(list(held), np.int64)
-        ids = np.array([x[0] for x in held.values()], np.int64)
-        offs = np.r_[0, np.cumsum([len(x[1]) for x in held.values()])].astype(np.int64)
-        data = np.frombuffer(b"".join(x[1] for x in held.values()), np.uint8)
+        ids = np.array([x[0] for x in held], np.int64)
+        digest = np.array([x[1] for x in held], np.int64)
+        offs = np.r_[0, np.cumsum([len(x[2]) for x in held])].astype(np.int64)
+        data = np.frombuffer(b"".join(x[2] for x in held), np.uint8)
         pairs = np.sort(_pair(keys, places))
         parts = []
         for i, j in K.chunks(offs):
@@ -375,21 +404,31 @@ class Suffixes:
 
     def sort(self, start: np.ndarray, group: np.ndarray) -> np.ndarray:
         """Order of the suffixes within each group (groups are contiguous), a
-        stable bottom-up mergesort; all groups advance together."""
+        stable bottom-up mergesort; all groups advance together.  It begins from the
+        order of the first eight bytes, and two runs whose border is in order are one
+        run already and are left as they are."""
         edge = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
         size = np.diff(np.r_[edge, len(group)])
-        first, last = np.repeat(edge, size), np.repeat(edge + size, size)
-        order = np.arange(len(group))
+        first8 = np.zeros(len(start), np.uint64)
+        for i in range(min(8, self.length)):
+            first8 = first8 << np.uint64(8) | self.data[start + i].astype(np.uint64)
+        order = np.lexsort((first8, group))
         width = 1
         while width < size.max():
-            x = np.flatnonzero(np.repeat(size > width, size))
-            run = (x - first[x]) // width
-            own = first[x] + run * width
-            other = np.where(run % 2 == 0, own + width, own - width)
-            left = run % 2 == 0
-            low = np.minimum(other, last[x])
-            high = np.minimum(other + width, last[x])
-            base, me = low.copy(), start[order[x]]
+            pairs = -(-(size - width).clip(0) // (2 * width))
+            base = np.repeat(edge, pairs) + 2 * width * (np.arange(int(pairs.sum())) - np.repeat(np.cumsum(pairs) - pairs, pairs))
+            last = np.repeat(edge + size, pairs)
+            right = start[order[base + width]]
+            turn = np.flatnonzero(self.before(right, start[order[base + width - 1]], np.zeros(len(base), bool)))
+            base, last = base[turn], last[turn]
+            many = np.minimum(base + 2 * width, last) - base
+            x = np.repeat(base, many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+            first, end = np.repeat(base, many), np.repeat(base + many, many)
+            left = x < first + width
+            # the place among the other run, by binary search
+            low = np.where(left, first + width, first)
+            high = np.where(left, end, first + width)
+            begin, me = low.copy(), start[order[x]]
             for _ in range(int(width).bit_length()):
                 live = np.flatnonzero(low < high)
                 if not len(live):
@@ -399,9 +438,9 @@ class Suffixes:
                 further = self.before(start[order[mid]], me[live], ~left[live])
                 low[live] = np.where(further, mid + 1, low[live])
                 high[live] = np.where(further, high[live], mid)
-            to = np.minimum(own, np.where(left, own, other)) + (x - own) + (low - base)
+            own = np.where(left, x - first, x - first - width)
             merged = order.copy()
-            merged[to] = order[x]
+            merged[first + own + (low - begin)] = order[x]
             order = merged
             width *= 2
         return order
@@ -504,8 +543,7 @@ _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 def _unite(length: int, text: bool, names: list[str]):
     def run(batches):
         cuts: dict[tuple[int, int], list] = {}
-        raws: list[bytes] = []
-        seen: dict[int, int] = {}
+        home = _Home()
         out: list[tuple] = []
         for batch in batches:
             for kind, raw in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
@@ -520,22 +558,17 @@ def _unite(length: int, text: bool, names: list[str]):
                     ids, sizes = _unpack(raw)
                     out += [whole(i, n) for i, n in zip(ids.tolist(), sizes.tolist())]
                 elif kind == TEXTS:
-                    ids, digest, *_ = _unpack(raw)
-                    for i, d in zip(ids.tolist(), digest.tolist()):
-                        seen[d] = min(i, seen.get(d, i))
-                    raws.append(raw)
+                    home.add(raw)
             if out:
                 yield result(out)
                 out = []
-        for raw in raws:
-            for i, d, times, data in _texts(raw):
-                if i > seen[d] and len(data) >= length:
-                    out += [whole(i, len(data))] * times
-                else:
-                    out += [cut(i, d, data, cuts)] * times
-            if out:
+        for i, d, times, data, stands in home.judged():
+            out += [whole(i, len(data)) if stands == 2 and len(data) >= length else cut(i, d, data, cuts)] * times
+            if len(out) >= 2000:
                 yield result(out)
                 out = []
+        if out:
+            yield result(out)
 
     def whole(i, n):
         """A copy of an earlier text."""
