@@ -158,15 +158,15 @@ LONGEST_WAIT_S = 600.0
 
 
 def reset_wait(value, now_s: float) -> float | None:
-    """Seconds until a limit resets.  The header's unit isn't fixed: of seconds
-    from now, epoch seconds and epoch milliseconds the first that gives a
-    plausible wait counts."""
+    """Seconds until a limit resets.  The header doesn't say its unit; its size does:
+    a short wait, a point in time in seconds, or one in milliseconds."""
     try:
-        x = float(value)
+        size = float(value)
     except (TypeError, ValueError):
         return None
-    readings = (x, x - now_s, x / 1000 - now_s)
-    return next((w for w in readings if x > 0 and 0 < w <= LONGEST_WAIT_S), None)
+    if size > LONGEST_WAIT_S:
+        size = (size / 1000 if size > 100 * now_s else size) - now_s
+    return size if 0 < size <= LONGEST_WAIT_S else None
 
 
 def retry_after(headers, now_s: float | None = None) -> float | None:
@@ -177,23 +177,55 @@ def retry_after(headers, now_s: float | None = None) -> float | None:
         return reset_wait(headers.get("X-RateLimit-Reset"), time.time() if now_s is None else now_s)
 
 
+def _said(value, quoted: bool = False):
+    """(name, text, quoted) of every text in a decoded answer; texts may quote
+    another answer, as JSON from their first brace on."""
+    if isinstance(value, list):
+        value = {str(i): x for i, x in enumerate(value)}
+    if not isinstance(value, dict):
+        return
+    for name, inner in value.items():
+        if not isinstance(inner, str):
+            yield from _said(inner, quoted)
+            continue
+        yield name, inner, quoted
+        if "{" in inner:
+            try:
+                answer, _ = json.JSONDecoder().raw_decode(inner, inner.index("{"))
+            except ValueError:
+                continue
+            yield from _said(answer, True)
+
+
+def _status_line(text: str) -> bool:
+    head, colon, _ = text.lstrip().partition(":")
+    return bool(colon) and head.startswith("HTTP ") and head[5:].isdigit() and len(head) == 8
+
+
 def limiter(headers, body: str = "") -> str:
-    """Who refused: "account" (limit headers, or a body that says so), "upstream"
-    (another provider's answer, relayed) or "unknown".  Headers decide first."""
+    """Who refused: "account" (limit headers, or an answer of that type), "upstream"
+    (another provider's answer, relayed as a status line or quoted) or "unknown".
+    Headers decide first, then what is relayed."""
     if any(headers.get(f"X-RateLimit-{k}") for k in ("Limit", "Remaining", "Reset")):
         return "account"
-    relayed = re.match(r'\s*(\{\s*"error".*)?HTTP \d{3}:', body) or re.search(r'\\"type\\":\s*\\"\w*rate', body)
-    if relayed:
+    try:
+        answer = json.loads(body)
+    except ValueError:
+        answer = {"": body}
+    said = list(_said(answer))
+    if any(_status_line(text) or (quoted and name == "type" and "rate" in text) for name, text, quoted in said):
         return "upstream"
-    return "account" if re.search(r'"error_type"\s*:\s*"rate_limit_exceeded"', body) else "unknown"
+    return "account" if ("error_type", "rate_limit_exceeded") in {s[:2] for s in said} else "unknown"
 
 
 def readable(ms: float) -> str:
-    """A duration for people: milliseconds below a second, tenths below ten."""
-    n = max(0, round(ms))
-    if n < 1000:
-        return f"{n}ms"
-    return f"{n / 1000:.1f}s" if n % 1000 and n < 10_000 else f"{round(n / 1000)}s"
+    """A duration for people: whole milliseconds below a second, then seconds, with
+    a tenth below ten unless it is zero."""
+    whole = max(0, round(ms))
+    if whole < 1000:
+        return f"{whole}ms"
+    seconds = whole / 1000
+    return f"{seconds:.{int(seconds < 10)}f}".removesuffix(".0") + "s"
 
 
 @dataclass
