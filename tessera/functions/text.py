@@ -18,6 +18,7 @@ STOPWORDS = (
     "was will with from your you i we our"
 ).split()
 
+# The parameters of 32-bit FNV-1a.
 FNV_SEED, FNV_PRIME, UINT32 = 2166136261, 16777619, 0xFFFFFFFF
 MOCK_DIM = 256
 
@@ -86,10 +87,10 @@ def content_hash(text: pd.Series) -> pd.Series:
 
 def tokenize(text: Column) -> Column:
     """Keyword tokens: lower-case runs of letters and digits, longer than one
-    unit, without stopwords."""
+    unit, without stopwords.  A single character has two units if it lies outside
+    the basic plane, which takes four bytes."""
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), 0)
-    stop = F.array(*[F.lit(w) for w in STOPWORDS])
-    return F.filter(found, lambda t: (units_length(t) > 1) & ~F.array_contains(stop, t))
+    return F.filter(found, lambda t: ((F.length(t) > 1) | (F.octet_length(t) > 3)) & ~t.isin(STOPWORDS))
 
 
 def mock_tokens(text: Column) -> Column:

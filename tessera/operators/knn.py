@@ -38,13 +38,17 @@ def _unit(x: np.ndarray) -> np.ndarray:
         return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _best(key: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the best k of each key, ties by id."""
-    order = np.lexsort((ids, -score, key))
-    key = key[order]
-    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    rank = np.arange(len(key)) - np.repeat(first, np.diff(np.r_[first, len(key)]))
-    return order[rank < k]
+def _best(groups: list[np.ndarray], score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the best k of each group of places, ties by id; scores that are not
+    finite are left out.  Only what reaches a group's k-th score is sorted."""
+    out = []
+    for places in groups:
+        own = score[places]
+        if len(own) > k:
+            places = places[own >= np.partition(own, len(own) - k)[len(own) - k]]
+        places = places[np.isfinite(score[places])]
+        out.append(places[np.lexsort((ids[places], -score[places]))[:k]])
+    return np.concatenate(out)
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -83,13 +87,15 @@ def _top_k_of_block(rows: DataFrame, queries: DataFrame, block: pa.Table, k: int
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             names_of = batch.column(1).dictionary_encode()
             group = names_of.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            by = np.argsort(group, kind="stable")
+            groups = np.split(by, np.flatnonzero(np.diff(group[by])) + 1)
             cos = _unit(_matrix(batch.column(2), dim)) @ wanted.T
             for q in range(cos.shape[1]):
                 score = np.round(cos[:, q], _TIE)
-                ok = np.flatnonzero(np.isfinite(score))
-                if not len(ok):
+                score[~np.isfinite(score)] = -np.inf
+                at = _best(groups, score, ids, k)
+                if not len(at):
                     continue
-                at = ok[_best(group[ok], score[ok], ids[ok], k)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([query_ids[q].as_py()] * len(at), query_ids.type), batch.column(1).take(pa.array(at)).cast(pa.string()), pa.array(ids[at]), pa.array(score[at])], names=names
                 )

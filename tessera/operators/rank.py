@@ -26,6 +26,11 @@ def term_frequencies(candidates: DataFrame, keys: list[str]) -> DataFrame:
     return candidates.select(*keys, F.explode(tokenize(F.col("text"))).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
 
 
+def document_frequencies(rows: DataFrame) -> DataFrame:
+    """term, df: in how many rows each term occurs, in one shuffle."""
+    return rows.select(F.explode(F.array_distinct(tokenize(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
 def bm25(candidates: DataFrame, queries: DataFrame) -> DataFrame:
     """Adds ``bm25``: the keyword score within each list's own pool.
 

@@ -27,17 +27,36 @@ ENTITIES = ("SRC0 ", "src7", " ")
 # --- inputs ----------------------------------------------------------------
 
 
+def _of(rows: DataFrame, ids: DataFrame | None) -> DataFrame:
+    """The rows of some ids, or all."""
+    return rows if ids is None else rows.join(ids, "id", "left_semi")
+
+
+def _texts(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("collection"), "text", F.array("source").alias("entities"))
+
+
 def _base(spark: SparkSession, sf: str) -> DataFrame:
     """Documents with their vectors."""
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("collection"), "text", F.array("source").alias("entities"))
+    docs = _texts(spark, sf)
     return docs.join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), "id")
 
 
 def _corpus(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with vectors and the fields that boosts read."""
+    return _boosts(spark, sf, _base(spark, sf))
+
+
+def _payload(spark: SparkSession, sf: str, ids: DataFrame) -> DataFrame:
+    """Texts and the fields that boosts read of some ids."""
+    return _boosts(spark, sf, _of(_texts(spark, sf), ids), ids)
+
+
+def _boosts(spark: SparkSession, sf: str, base: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     labels = table(spark, sf, "labels").select(F.col("doc_id").alias("id"), (F.col("quality") * 7 + F.col("toxic") * 5).cast("double").alias("importance"))
     stamp = F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast(ts as timestamp_ntz))").cast("double")
     events = table(spark, sf, "events").select(F.col("event_id").alias("id"), stamp.alias("ts_ms"))
-    return _base(spark, sf).join(labels, "id", "left").join(events, "id", "left")
+    return base.join(_of(labels, ids), "id", "left").join(_of(events, ids), "id", "left")
 
 
 def _queries(corpus: DataFrame, single: bool = False) -> DataFrame:
@@ -53,7 +72,8 @@ def _requests(queries: DataFrame) -> DataFrame:
 def _pool(spark: SparkSession, sf: str):
     base = _base(spark, sf)
     queries = _queries(base)
-    return search.candidates(base.drop("entities"), queries, 40), queries
+    texts = lambda ids: _of(_texts(spark, sf).drop("entities"), ids)
+    return search.candidates(texts, queries, 40, vectors=base.drop("entities")), queries
 
 
 def _r(c, digits: int = 6):
@@ -82,7 +102,7 @@ def term_freq(spark, sf):
 
 
 def doc_freq(spark, sf):
-    return rank.term_frequencies(table(spark, sf, "documents"), ["doc_id"]).groupBy("term").agg(F.count("*").alias("df"))
+    return rank.document_frequencies(table(spark, sf, "documents"))
 
 
 def cosine_topk(spark, sf):
@@ -134,7 +154,7 @@ def dual_signal_bonus(spark, sf):
 def _hybrid(spark, sf, single):
     base = _base(spark, sf)
     queries = _queries(base, single)
-    hits = search.hybrid(_corpus(spark, sf), queries, TOP_K, NOW_MS, _requests(queries), vectors=base)
+    hits = search.hybrid(lambda ids: _payload(spark, sf, ids), queries, TOP_K, NOW_MS, _requests(queries), vectors=base)
     return hits.select("request_id", "collection", "id", F.col("rank").cast("long").alias("rank"), _r("final_score").alias("final_score"), _r("dense_best").alias("dense_score"), _r("bm25_best").alias("bm25_score"))
 
 
@@ -421,6 +441,17 @@ ORACLES = {
         x AS (SELECT what, id, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY what, id)) AS w FROM s),
         p AS (SELECT q.id AS query_id, d.id, sum(q.w * d.w) AS cosine FROM x q JOIN x d USING (bucket) WHERE q.what = 'q' AND d.what = 'd' GROUP BY ALL)
         SELECT query_id, round(max(cosine), 4) AS best, 3::BIGINT AS hits FROM p GROUP BY query_id""",
+    "batch_plan": """WITH RECURSIVE t AS (
+          SELECT conv_id, n, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, n) AS i, count(*) OVER (PARTITION BY conv_id) AS turns
+          FROM (SELECT conv_id, turn, length(coalesce(text, ''))::BIGINT AS n FROM conversations)),
+        s(conv_id, i, turns, batches, held, room, largest) AS (
+          SELECT conv_id, i, turns, 1::BIGINT, 1::BIGINT, 400 - n, 1::BIGINT FROM t WHERE i = 1
+          UNION ALL
+          SELECT t.conv_id, t.i, t.turns, CASE WHEN s.held >= 3 OR t.n > s.room THEN s.batches + 1 ELSE s.batches END,
+                 CASE WHEN s.held >= 3 OR t.n > s.room THEN 1 ELSE s.held + 1 END, CASE WHEN s.held >= 3 OR t.n > s.room THEN 400 - t.n ELSE s.room - t.n END,
+                 greatest(s.largest, CASE WHEN s.held >= 3 OR t.n > s.room THEN 1 ELSE s.held + 1 END)
+          FROM s JOIN t ON t.conv_id = s.conv_id AND t.i = s.i + 1)
+        SELECT conv_id, batches, largest FROM s WHERE i = turns""",
     "validate_vectors": """SELECT len(embedding)::INTEGER AS dim, count(*) AS vectors, count_if(len([x for x in embedding if isfinite(x)]) = len(embedding))::BIGINT AS finite,
         round(avg(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 5) AS mean_norm FROM embeddings GROUP BY 1""",
 }
