@@ -16,9 +16,10 @@ from ..sources.scratch import settle
 Payload = Callable[[DataFrame], DataFrame]
 
 
-def candidates(rows: DataFrame | Payload, queries: DataFrame, k: int, threshold: float = 0.0, vectors: DataFrame | None = None) -> DataFrame:
-    """Candidate lists: the best k rows of each query and collection, clamped
-    score at least the threshold.
+def candidates(rows: DataFrame | Payload, queries: DataFrame, k: int, threshold: float = 0.0, vectors: DataFrame | None = None, raw: bool = False) -> DataFrame:
+    """Candidate lists: the best k rows of each query and collection, score at
+    least the threshold.  The score is the cosine clamped to 0..1, or as it is with
+    ``raw``.
 
     rows: id, collection, vector and payload columns; queries: request_id,
     query_id, query_text, vector, collections (in list order; one that is named
@@ -29,7 +30,7 @@ def candidates(rows: DataFrame | Payload, queries: DataFrame, k: int, threshold:
     joined."""
     best = knn.top_k_of_all(rows if vectors is None else vectors, queries, k)
     asked = queries.select("request_id", "query_id", F.posexplode("collections").alias("place", "collection"))
-    found = best.join(asked, ["query_id", "collection"]).withColumn("dense", clamped(F.col("cosine"))).where(F.col("dense") >= threshold)
+    found = best.join(asked, ["query_id", "collection"]).withColumn("dense", F.col("cosine") if raw else clamped(F.col("cosine"))).where(F.col("dense") >= threshold)
     pos = F.row_number().over(Window.partitionBy("request_id", "query_id").orderBy("place", "rank")) - 1
     found = found.withColumn("pos", pos).select("request_id", "query_id", "pos", "collection", "id", "dense")
     if callable(rows):
@@ -38,15 +39,15 @@ def candidates(rows: DataFrame | Payload, queries: DataFrame, k: int, threshold:
     return found.join(rows.drop("vector"), ["collection", "id"])
 
 
-def hybrid(rows: DataFrame | Payload, queries: DataFrame, top_k: int, now_ms: float, requests: DataFrame | None = None, weights: dict = WEIGHTS, half_life_days: float = rank.HALF_LIFE_DAYS, vectors: DataFrame | None = None) -> DataFrame:
+def hybrid(rows: DataFrame | Payload, queries: DataFrame, top_k: int, now_ms: float, requests: DataFrame | None = None, weights: dict = WEIGHTS, half_life_days: float = rank.HALF_LIFE_DAYS, vectors: DataFrame | None = None, rrf_k: int = rank.RRF_K) -> DataFrame:
     """Dense and keyword ranks fused over a request's sub-queries, boosted once,
     best top_k of each request.  requests: request_id, wanted (entities)."""
     lists = candidates(rows, queries, candidate_k(top_k), vectors=vectors)
-    scored = rank.rrf(rank.bm25(lists, queries), weights)
+    scored = rank.rrf(rank.bm25(lists, queries), weights, rrf_k)
     requests = requests if requests is not None else queries.select("request_id").distinct().withColumn("wanted", F.array().cast("array<string>"))
     return rank.cut(rank.boosted(rank.fuse(scored), requests, now_ms, weights, half_life_days), "final_score", top_k)
 
 
-def dense(rows: DataFrame | Payload, queries: DataFrame, top_k: int, threshold: float = 0.0, vectors: DataFrame | None = None) -> DataFrame:
+def dense(rows: DataFrame | Payload, queries: DataFrame, top_k: int, threshold: float = 0.0, vectors: DataFrame | None = None, raw: bool = False) -> DataFrame:
     """Best rows by similarity alone, a floor on the score, each row once."""
-    return rank.best_dense(candidates(rows, queries, top_k, threshold, vectors), top_k)
+    return rank.best_dense(candidates(rows, queries, top_k, threshold, vectors, raw), top_k)

@@ -174,11 +174,12 @@ class Store:
             number(stamp).alias("ts_ms"), F.from_json(field("entities"), "array<string>").alias("entities"),
         )
 
-    def query(self, request: Request, now_ms: float) -> DataFrame:
-        """Hits of one request: collection, id, text, hash, metadata, scores, rank."""
+    def query(self, request: Request, now_ms: float, model: embed.Embedder | None = None) -> DataFrame:
+        """Hits of one request: collection, id, text, hash, metadata, scores, rank.
+        ``model`` embeds this request's texts in place of the store's own."""
         if not request.collections:
             return self.spark.createDataFrame([], "collection string, id long, text string, rank int")
-        vectors = self.model(request.texts)
+        vectors = (model or self.model)(request.texts)
         rows = [(0, i, t, [float(x) for x in v], request.collections) for i, (t, v) in enumerate(zip(request.texts, vectors))]
         queries = self.spark.createDataFrame(rows, "request_id int, query_id int, query_text string, vector array<float>, collections array<string>")
         corpus = self.corpus(request.collections)
@@ -190,6 +191,22 @@ class Store:
         return hits.withColumn("metadata", merged_metadata()).orderBy("rank")
 
 
+    def answer(self, request: Request, now_ms: float, model: embed.Embedder | None = None) -> dict:
+        """The answer to one request: hits (at most its top_k), mode, subqueries."""
+        hits = [r.asDict(True) for r in self.query(request, now_ms, model).collect()]
+        return {"hits": hits, "mode": "hybrid" if request.hybrid else "dense", "subqueries": len(request.texts)}
+
+
+BACKENDS = {"parquet": Store}
+
+
+def open_store(spark: SparkSession, path: str, backend: str = "parquet", **options) -> Store:
+    """The store of a backend by its name."""
+    if backend not in BACKENDS:
+        raise ValueError(f'Unknown backend "{backend}"; known: {", ".join(BACKENDS)}')
+    return BACKENDS[backend](spark, path, **options)
+
+
 def merged_metadata():
     """A hit's metadata: hash, text and index under the row's own fields, which win."""
     own = F.from_json("meta_json", "map<string,string>")

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from tessera.functions import params as P
 from tessera.operators import embed as E
 from tessera.operators import ingest
+from tessera.plans import search
 from tessera.sources import config, files
-from tessera.sources.store import Store
+from tessera.sources.store import Store, open_store
 from tessera.streaming.ingest import ingest_stream
 
 FACTS = ["The lighthouse keeper hides a brass compass under the stairs.", "Wolves gather near the frozen mill whenever the bells ring.", "Tax on imported silk doubled after the harvest festival."]
@@ -50,6 +51,37 @@ def test_search_finds_the_fact_and_unites_topics(spark, store):
     assert store.query(P.Request(["x"], []), 0).count() == 0
 
 
+def test_answer_has_the_shape_of_a_request(spark, store):
+    store.ingest(docs(spark, FACTS), "lore")
+    found = store.answer(P.request(search_texts=["frozen mill", "silk"], collections=["lore"], top_k=2, allowed=store.allowed), 0)
+    assert (found["mode"], found["subqueries"], len(found["hits"])) == ("hybrid", 2, 2)
+
+    class Elsewhere(E.MockEmbedder):
+        def batch(self, texts):
+            return super().batch([FACTS[2]] * len(texts))
+
+    asked = P.request("wolves", collection="lore", hybrid=False, top_k=1, allowed=store.allowed)
+    assert store.answer(asked, 0)["hits"][0]["text"] == FACTS[1]
+    other = store.answer(asked, 0, Elsewhere())
+    assert (other["mode"], other["subqueries"], other["hits"][0]["text"]) == ("dense", 1, FACTS[2])
+
+
+def test_backends_by_name(spark, tmp_path):
+    assert isinstance(open_store(spark, f"file://{tmp_path}/m", allowed=("docs",)), Store)
+    with pytest.raises(ValueError, match="parquet"):
+        open_store(spark, "x", "tape")
+
+
+def test_raw_scores_and_rrf_k(spark):
+    rows = spark.createDataFrame([(i, "c", f"text {i}", [x, 1.0]) for i, x in enumerate((1.0, 0.5, -3.0))], "id long, collection string, text string, vector array<double>")
+    queries = spark.createDataFrame([(0, 0, "text", [1.0, 0.0], ["c"])], "request_id int, query_id int, query_text string, vector array<double>, collections array<string>")
+    assert [r.id for r in search.dense(rows, queries, 3, -1.0, raw=True).orderBy("rank").collect()] == [0, 1, 2]
+    assert min(r.dense for r in search.candidates(rows, queries, 3, -1.0, raw=True).collect()) < 0 == min(r.dense for r in search.candidates(rows, queries, 3).collect())
+    assert {r.id for r in search.candidates(rows, queries, 3, 0.0, raw=True).collect()} == {0, 1}
+    mass = [search.hybrid(rows.withColumns({"importance": F.lit(None).cast("double"), "ts_ms": F.lit(None).cast("double"), "entities": F.array().cast("array<string>")}), queries, 1, 0, rrf_k=k).first().rrf for k in (1, 60)]
+    assert mass[0] > 10 * mass[1]
+
+
 def test_insert_overwrites_and_delete_removes(spark, store):
     store.ingest(docs(spark, FACTS), "docs")
     assert store.insert(files.items(spark, [{"text": FACTS[0], "metadata": {"importance": 9}}, {"text": FACTS[0]}, {"text": "  "}]), "docs") == 1
@@ -140,6 +172,11 @@ def test_refusals_are_read():
     assert E.retry_after({"Retry-After": "2"}) == 2 and E.retry_after({"X-RateLimit-Reset": "9"}, now) == 9 and E.retry_after({}) is None
     assert E.limiter({"X-RateLimit-Limit": "5"}, "HTTP 429: busy") == "account" and E.limiter({}, "HTTP 429: busy") == "upstream"
     assert E.limiter({}, '{"error_type": "rate_limit_exceeded"}') == "account" and E.limiter({}, "no") == "unknown"
+    assert E.limiter({}, json.dumps({"error": {"message": "HTTP 429: slow down"}})) == "upstream"
+    quoted = json.dumps({"error": {"metadata": {"raw": 'they say {"type": "rate_limit_error"}'}, "error_type": "rate_limit_exceeded"}})
+    assert E.limiter({}, quoted) == "upstream"
+    assert E.limiter({}, json.dumps([{"error": {"error_type": "rate_limit_exceeded"}}])) == "account"
+    assert E.limiter({}, '{"type": "rate"}') == E.limiter({}, "HTTP 42: x") == E.limiter({}, "") == "unknown"
     assert [E.readable(x) for x in (250, 1500, 2000, 12_400, -3)] == ["250ms", "1.5s", "2s", "12s", "0ms"]
     assert all(0.5 * 2 ** (n - 1) <= E.refusal_wait(n) <= 0.55 * 2 ** (n - 1) for n in range(1, 8)) and E.refusal_wait(20) <= 132
 
