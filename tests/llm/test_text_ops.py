@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, html_main, lm_score, packing, tokens, toxicity, warc
+from tessera.llm import decontam, html_main, lm_score, packing, tokens, toxicity, warc, word_bits
 from tessera.llm import kernel as K
 
 from .helpers import LOWER, awkward, empty, frame, prose, words
@@ -239,6 +239,67 @@ def test_spelling_is_a_probability():
     assert 0 < total < 1 and s.log10([b"abba"])[0] > s.log10([b"zqzq"])[0]
 
 
+def _code_model(texts, classes=2):
+    """Words of the texts, their classes, and the counts of code bits."""
+    data, offs = K.text_bytes(pa.array(texts))
+    found, cls = lm_score.Words(data, offs), np.arange(len(texts)) % classes
+    table = word_bits.no_counts()
+    word_bits.add_counts(table, found.hash, found.place)
+    by_class = np.zeros((classes, word_bits.CODES), np.int64)
+    np.add.at(by_class, (cls[found.doc], word_bits.code(found.hash)), 1)
+    return found, cls[found.doc], word_bits.CodeMixer(word_bits.class_rows(by_class), table)
+
+
+def test_code_bits_against_plain_counts(monkeypatch):
+    monkeypatch.setattr(word_bits, "ROW_BITS", 22)  # no two contexts share a row
+    found, cls, mixer = _code_model([prose(40, i) for i in range(6)] + ["", "one"])
+    codes, h, place = word_bits.code(found.hash).tolist(), found.hash.tolist(), found.place.tolist()
+    weights = np.random.default_rng(1).uniform(0.1, 0.6, mixer.weights.shape)
+
+    def near(i):  # the contexts of token i
+        before = h[i - 1] if place[i] else None
+        return [("class", int(cls[i])), ("one", before), ("two", before, h[i - 2] if place[i] > 1 else None)]
+
+    counts = collections.Counter()
+    for i, c in enumerate(codes):
+        for x in near(i):
+            for b in range(8):
+                counts[x, b, c >> (8 - b), (c >> (7 - b)) & 1] += 1
+    want = []
+    for i, c in enumerate(codes):
+        total = 0.0
+        for b in range(8):
+            n = [[counts[x, b, c >> (8 - b), bit] for bit in (0, 1)] for x in near(i)]
+            gate = [min(7, int(math.log2(sum(x) + 1))) for x in n[1:]]
+            vote = sum(w * math.log((x[1] + 0.1) / (x[0] + 0.1)) for w, x in zip(weights[b // 4, gate[0] * 8 + gate[1]], n))
+            total -= math.log10(1 + math.exp(-vote if (c >> (7 - b)) & 1 else vote))
+        want.append(total)
+    assert mixer.ready(weights).log10(found.hash, found.place, cls) == pytest.approx(want, abs=1e-4)
+
+
+def test_code_weights_learn_and_codes_are_probabilities():
+    found, cls, mixer = _code_model(["a b c d e f g"] * 40 + [prose(200, 1)])
+    used, start = np.zeros(mixer.weights.shape[:2]), mixer.weights.copy()
+    mixer.learn(found.hash, found.place, cls, used)
+    assert used.sum() == 8 * len(cls) and not np.allclose(mixer.weights, start)
+    mixer.ready(mixer.weights)
+    third = {int(word_bits.code(x)[0]): x[0] for x in np.random.default_rng(2).integers(1, 1 << 62, (5000, 1)).astype(np.uint64)}
+    assert len(third) == word_bits.CODES
+    h = np.array([x for last in third.values() for x in (*found.hash[:2], last)], np.uint64)
+    got = mixer.log10(h, np.tile(np.arange(3), len(third)), np.zeros(len(h), np.int64))[2::3]
+    assert (10**got).sum() == pytest.approx(1, abs=1e-6)
+
+
+def test_code_shares_are_those_of_the_known_words():
+    tokens, kinds = np.array([60, 40, 0]), np.array([9, 5, 0])
+    rng = np.random.default_rng(4)
+    split = lambda n: np.stack([np.bincount(rng.integers(0, 256, x), minlength=256) for x in n])
+    m = lm_score.Model(np.zeros((3, 1)), tokens, tokens, 12, kinds=kinds, once=4, twice=2, single=6)
+    m.code_tokens, m.code_kinds = split(tokens), split(kinds)
+    left = np.where(tokens > 0, m.discount() * kinds / np.maximum(tokens, 1), 1)
+    assert m.code_share().sum(1) == pytest.approx(1 - left * m.strange())
+
+
 def test_lm_cost_of_long_unknown_words_has_no_floor(spark):
     r = random.Random(3)
     junk = "".join(r.choice("0123456789abcdef") for _ in range(20000))
