@@ -239,6 +239,19 @@ def test_spelling_is_a_probability():
     assert 0 < total < 1 and s.log10([b"abba"])[0] > s.log10([b"zqzq"])[0]
 
 
+def test_classes_count_the_byte_pairs_of_each_text():
+    texts = ["", "ab", "a", "", "abab", "zz9 \u00e9"] + [prose(30, i) for i in range(130)] + ["", "x", ""]
+    data, offs = K.text_bytes(pa.array(texts))
+    got = np.concatenate([x for _, _, x in lm_score._pair_roots(data, offs)])
+    for text, row in zip(texts, got):
+        raw = lm_score._LETTER[np.frombuffer(text.encode(), np.uint8)].tolist()
+        want = collections.Counter(a * 64 + b for a, b in zip(raw, raw[1:]))
+        assert {int(k): round(float(row[k]) ** 2) for k in np.flatnonzero(row)} == want
+    model = lm_score.Model(lm_score._centres(lm_score._profile(data, offs), 3), None, None, 0)
+    assert (model.classify(data, offs) == np.argmax(lm_score._profile(data, offs) @ model.centres.T, 1)).all()
+    assert len(model.classify(data[:0], np.zeros(3, np.int64))) == 2
+
+
 def _code_model(texts, classes=2):
     """Words of the texts, their classes, and the counts of code bits."""
     data, offs = K.text_bytes(pa.array(texts))
