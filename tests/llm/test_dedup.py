@@ -262,6 +262,30 @@ def test_recall_of_edited_passages(size, rate, least):
     assert found >= least * n
 
 
+@pytest.mark.parametrize("n, m", [(0, 300), (1, 200), (100, 90), (300, 120), (150, 400)])
+def test_long_alignments_cost_as_little_as_whole_ones(n, m):
+    rng = np.random.default_rng(n + m)
+    a, b = rng.integers(0, 6, n), rng.integers(0, 6, m)
+    steps = passage_dedup._long_edits(a, b)
+    assert (sum(s for s, _, _ in steps), sum(t for _, t, _ in steps)) == (n, m)
+    i = j = 0
+    for s, t, good in steps:
+        if good:
+            assert a[i : i + s].tolist() == b[j : j + t].tolist()
+        i, j = i + s, j + t
+    whole = passage_dedup._edits(a.tolist(), b.tolist())
+    assert sum(max(s, t) for s, t, good in steps if not good) == sum(max(s, t) for s, t, good in whole if not good)
+
+
+def test_a_passage_in_a_long_gap_between_runs_is_found():
+    """Chained runs lie 180 words apart; the words between are equal but for one in
+    six, and one of them is left out."""
+    a = np.arange(400)
+    b = np.delete(np.where((a > 110) & (a < 290) & (a % 6 == 0), a + 1000, a), 200)
+    begin, steps = passage_dedup.align(a, b, [(0, 0, 110), (290, 289, 110)])
+    assert passage_dedup.best_parts(begin, steps, 50, 0.2) == [(0, 400, 0, 399, 31)]
+
+
 def test_chaining_takes_the_best_order():
     # the middle run lies off the order of the others
     chain = passage_dedup.chains([(0, 0, 20), (25, 300, 6), (30, 31, 20), (60, 62, 20)])
