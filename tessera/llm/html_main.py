@@ -18,21 +18,24 @@ Cases: a null or empty page, or one without text, gives an empty text; text
 outside any element is a block of the body; unclosed and stray tags are
 repaired; a null id or url is kept; repeated rows are results of their own; an
 empty table gives an empty result; other columns are left alone.
+A quote without its pair doesn't hide the rest of a page: a tag that would need the
+quotes after it to end does so at its first ">".
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 _TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*?)>", re.DOTALL
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+|[^>]*+)>", re.DOTALL
 )
-_ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|([^\s=\"'/>]+)")
+_ATTRIBUTE = re.compile(r"([^\s=\"'/>]++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|([^\s=\"'/>]+)")
 
 # Element names by their part in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -58,13 +61,14 @@ ENDS = {
     "td": frozenset(["td", "th", "tr", "tbody", "tfoot"]), "th": frozenset(["td", "th", "tr", "tbody", "tfoot"]),
     "tr": frozenset(["tr", "tbody", "tfoot", "thead"]), "option": frozenset(["option", "optgroup"]),
 }
+ENDED = {tag: tuple(t for t, new in ENDS.items() if tag in new) for tag in BLOCK}
 SCOPES = frozenset("ul ol dl table article section main body".split())
 
 
 class Node:
     """A block element: its text pieces and child elements in page order."""
 
-    __slots__ = ("tag", "parent", "parts", "points", "out", "depth", "size", "linked")
+    __slots__ = ("tag", "parent", "parts", "points", "out", "depth", "size", "linked", "inside")
 
     def __init__(self, tag: str, parent: "Node | None", out: bool = False):
         self.tag, self.parent, self.out = tag, parent, out
@@ -72,6 +76,7 @@ class Node:
         self.points = 0.0
         self.size = self.linked = 0
         self.depth = parent.depth + 1 if parent else 0
+        self.inside = tag in ("article", "main") or (parent is not None and parent.inside)
 
 
 def _left_out(tag: str, attributes: str, in_article: bool) -> bool:
@@ -102,38 +107,44 @@ def tree(page: str) -> Node:
     root = Node("body", None)
     node = root
     stack: list[tuple[str, Node]] = []  # open elements with the block that each is in
-    links = 0
-    at, n = 0, len(page)
+    held: dict[str, int] = defaultdict(int)  # how many elements of a name are open
+    at, n, last = 0, len(page), page.rfind(">")
+
+    def close(i: int) -> Node:
+        for t, _ in stack[i:]:
+            held[t] -= 1
+        block = stack[i][1]
+        del stack[i:]
+        return block
+
     while at < n:
         lt = page.find("<", at)
-        m = _TAG.match(page, lt) if lt >= 0 else None
+        m = _TAG.match(page, lt) if 0 <= lt < last or page.startswith("<!--", lt) else None
         if lt < 0 or m is None:
             stop = n if lt < 0 else lt + 1
-            node.parts.append((page[at:stop], links > 0))
+            node.parts.append((page[at:stop], held["a"] > 0))
             at = stop
             continue
         if lt > at:
-            node.parts.append((page[at:lt], links > 0))
+            node.parts.append((page[at:lt], held["a"] > 0))
         at = m.end()
         tag = (m.group(2) or "").lower()
         if not tag or tag in ("html", "body"):
             continue
         if m.group(1):
-            if tag in ("br", "p") and not any(t == tag for t, _ in stack):
+            if tag in ("br", "p") and not held[tag]:
                 node.parts.append((" ", False))
                 continue
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if held[tag] else ():
                 if stack[i][0] == tag:
-                    links -= sum(t == "a" for t, _ in stack[i:])
-                    node = stack[i][1]
-                    del stack[i:]
+                    node = close(i)
                     break
                 if tag not in BLOCK and stack[i][0] in BLOCK:
                     break  # a stray inline end tag doesn't close blocks
             continue
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.IGNORECASE).search(page, at)
-            at = close.end() if close else n
+            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.IGNORECASE).search(page, at)
+            at = end.end() if end else n
             continue
         if tag in VOID:
             if tag == "br":
@@ -142,19 +153,18 @@ def tree(page: str) -> Node:
                 node.parts.append(None)
             continue
         if tag in BLOCK:
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if any(map(held.get, ENDED[tag])) else ():
                 t = stack[i][0]
                 if tag in ENDS.get(t, ()):
-                    links -= sum(x == "a" for x, _ in stack[i:])
-                    node = stack[i][1]
-                    del stack[i:]
+                    node = close(i)
                     if t in ("p", "li", "dt", "dd", "option", "tr"):
                         break
                 elif t in SCOPES and not (t == "table" and tag == t):
                     break
-            child = Node(tag, node, node.out or _left_out(tag, m.group(3), _inside(node)))
+            child = Node(tag, node, node.out or _left_out(tag, m.group(3), node.inside))
             node.parts.append(child)
             stack.append((tag, node))
+            held[tag] += 1
             node = child
         else:
             if tag in LEFT_OUT or (m.group(3) and _left_out(tag, m.group(3), True)):
@@ -164,18 +174,10 @@ def tree(page: str) -> Node:
                 node = child
             else:
                 stack.append((tag, node))
-            links += tag == "a"
+            held[tag] += 1
     return root
 
 
-def _inside(node: Node | None) -> bool:
-    while node is not None:
-        if node.tag in ("article", "main"):
-            return True
-        node = node.parent
-    return False
-
-
 def _walk(root: Node):
     """All nodes below and with root, parents first."""
     todo = [root]

@@ -201,6 +201,22 @@ def test_main_text_of_odd_pages(page, want):
     assert html_main.extract(page) == want
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ('<p>a, b</p><a "x>' + '"' * 2001, "a, b\n" + '"' * 2001),
+        ("<p>a, b</p>" + "<a " * 30000, "a, b\n" + ("<a " * 30000).strip()),
+        ("<div " + "a" * 100000 + ">a, b</div>", "a, b"),
+        ("<article>" + "<div>" * 20000 + "a, b", "a, b"),
+        ("<i>" * 20000 + "</b>" * 20000 + "a, b", "a, b"),
+        ("<p>" + "long, text " * 200000 + "</p>", ("long, text " * 200000).strip()),
+    ],
+    ids=["quotes", "no end", "attribute", "nested", "inline", "long"],
+)
+def test_main_text_of_hostile_pages_takes_linear_time(page, want):
+    assert html_main.extract(page) == want
+
+
 def test_main_text_frame(spark):
     pages = spark.createDataFrame([(1, "u", "<p>Hi there</p>", "x"), (None, None, None, "y"), (1, "u", "<p>Hi there</p>", "x")], "page_id long, url string, html string, text string")
     assert sorted((r.page_id or 0, r.url, r.text) for r in html_main.main_text(pages).collect()) == [(0, None, ""), (1, "u", "Hi there"), (1, "u", "Hi there")]
