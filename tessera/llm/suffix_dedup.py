@@ -15,7 +15,11 @@ at equal offsets, so equal windows meet where their anchors meet:
    all and the others are removed whole.  Wherever texts of one digest meet, their
    bytes are compared; different texts are documents each.
 2. *Fragments*: a document sends, for each repeated anchor, the bytes of the
-   windows that pick it.  Equal fragments of a task are sent once.
+   windows that pick it.  Equal fragments of a task are sent once.  An anchor that
+   very many texts share (``HOT``) would bring them all to one task, so its windows
+   are dealt in bands of their distance from it, each band by the bytes that all its
+   windows hold: equal windows still meet.  Which anchors are hot is counted in one
+   of ``HOT_SHARE`` texts; it moves work between tasks and changes no result.
 3. *Suffix sort*: in a bucket the suffixes that start a window are sorted, those
    of one anchor and distance from it together, by a bottom-up mergesort.  Two suffixes are compared through the
    length of their common prefix, found by binary search over prefix polynomial
@@ -23,9 +27,11 @@ at equal offsets, so equal windows meet where their anchors meet:
    in LENGTH bytes are equal windows; their bytes are compared, and should a
    hash have collided, the anchor's suffixes are sorted by their bytes.  Of
    equal windows the first stays, the others are reported to their documents.
+   Windows whose hash no other has are left out, and a bucket is sorted in slices
+   of anchors and distances, so temporary arrays don't grow with it.
 4. *Documents* unite the reported windows.
 
-It is one plan of four exchanges; what moves are packed arrays, dealt by hash
+It is one plan of four exchanges after the count of hot anchors; what moves are packed arrays, dealt by hash
 buckets.  An anchor's rows are combined in every task before each exchange, so a
 string held by a third of all documents arrives once a task.
 
@@ -57,6 +63,12 @@ GRAM = 24
 #: Bytes of text whose fragments a task gathers before it sends them.
 GATHER = 48 << 20
 _NULL = np.iinfo(np.int64).max
+_NONE = np.zeros(0, np.uint64)
+#: Windows that are looked at, and bytes of fragments that are compared, at once.
+WINDOWS, SLICE = 1 << 20, 2 << 20
+#: Occurrences from which an anchor is hot, the share of texts in which they are
+#: counted, and how many distances from it make a band.
+HOT, HOT_SHARE, BAND = 32_000, 16, 10
 #: Kinds of packed rows, in the order in which a task reads them.
 REPEATED, FRAGMENTS, REMOVED, COPIES, TEXTS = range(5)
 
@@ -153,6 +165,56 @@ def _send_anchors(length: int, gram: int, buckets: int):
     return run
 
 
+def _count_anchors(length: int, gram: int, buckets: int):
+    def run(batches):
+        for batch in batches:
+            data, offs = K.text_bytes(batch.column(0))
+            parts = [anchors(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], length, gram)[1] for i, j in K.chunks(offs)]
+            if parts:
+                h, n = np.unique(np.concatenate(parts), return_counts=True)
+                yield _rows([(b, FRAGMENTS, _pack((h[x], n[x].astype(np.uint32)))) for b, x in dealt(h, buckets)])
+
+    return run
+
+
+def _often(least: float):
+    def run(batches):
+        parts = [_unpack(raw) for batch in batches for raw in batch.column(2).to_pylist()]
+        if parts:
+            h, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+            n = np.bincount(at.reshape(-1), np.concatenate([p[1] for p in parts]), len(h))
+            if (n >= least).any():
+                yield _rows([(0, FRAGMENTS, _pack(h[n >= least]))])
+
+    return run
+
+
+def hot_anchors(rows: DataFrame, length: int, gram: int, hot: int, share: int, parts: int) -> np.ndarray:
+    """Sorted hashes of the anchors that occur about ``hot`` times or more, by the texts
+    of one of ``share`` ids; at most one for every ``hot`` anchors of the corpus."""
+    some = rows.toDF("id", "t").where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0).select("t")
+    found = by_bucket(some.mapInArrow(_count_anchors(length, gram, parts), _ROW), parts).mapInArrow(_often(hot / share), _ROW).collect()
+    return np.sort(np.concatenate([_NONE, *(_unpack(r["payload"]) for r in found)]))
+
+
+def _banded(prefix, h, pos, lo, hi, doc, hot: np.ndarray, length: int):
+    """The fragments with those of hot anchors cut into bands; a band's hash is that
+    of the bytes which all windows of these distances from the anchor hold."""
+    if not len(hot) or not len(h):
+        return h, pos, lo, hi, doc
+    is_hot = hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h
+    if not is_hot.any():
+        return h, pos, lo, hi, doc
+    out = [tuple(x[~is_hot] for x in (h, pos, lo, hi, doc))]
+    h, pos, lo, hi, doc = (x[is_hot] for x in (h, pos, lo, hi, doc))
+    for near in range(0, length, BAND):
+        first, last = np.maximum(lo, pos - near - BAND + 1), np.minimum(hi, pos - near)
+        x = np.flatnonzero(first <= last)
+        common = K.span_hash(prefix, pos[x] - near, pos[x] - near - BAND + 1 + length)
+        out.append((K.mix(common + K.mix(h[x] + np.uint64(near))), pos[x], first[x], last[x], doc[x]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
 def _find_repeated(buckets: int):
     def run(batches):
         parts = []
@@ -248,7 +310,7 @@ class _Home:
                 yield i, d, times, text, stands
 
 
-def _send_fragments(length: int, gram: int, buckets: int):
+def _send_fragments(length: int, gram: int, buckets: int, hot: np.ndarray = _NONE):
     def run(batches):
         known: list = []
         held: list[tuple[int, int, bytes]] = []
@@ -296,9 +358,10 @@ def _send_fragments(length: int, gram: int, buckets: int):
             doc = np.searchsorted(po, pos, "right") - 1
             key = _pair(digest[i + doc], pos - po[doc])
             yes = pairs[np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)] == key
-            h, pos, lo, hi, doc = h[yes], pos[yes], lo[yes], hi[yes], doc[yes]
+            prefix = K.prefix_hash(part)
+            h, pos, lo, hi, doc = _banded(prefix, h[yes], pos[yes], lo[yes], hi[yes], doc[yes], hot, length)
             n = hi - lo + length
-            same = _same_key(K.prefix_hash(part), lo, n, h)
+            same = _same_key(prefix, lo, n, h)
             parts.append((h, same, ids[i + doc], digest[i + doc], lo - po[doc], hi - lo + 1, pos - lo, lo + offs[i]))
         h, same, fid, frow, start, windows, lead, place = (np.concatenate(x) for x in zip(*parts))
         n = windows + length - 1
@@ -352,8 +415,9 @@ def _same_bytes(data: np.ndarray, at: np.ndarray, size: np.ndarray, group: np.nd
         return np.zeros(0, bool)
     head = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])[group]
     same = size == size[head]
-    x = np.flatnonzero(same & (head != np.arange(len(at))))
-    if len(x):
+    every = np.flatnonzero(same & (head != np.arange(len(at))) & (size > 0))
+    for i, j in K.chunks(np.r_[0, np.cumsum(size[every])], SLICE):
+        x = every[i:j]
         differ = _gather(data, at[x], size[x]) != _gather(data, at[head[x]], size[x])
         edge = np.cumsum(size[x]) - size[x]
         same[x] = ~np.logical_or.reduceat(differ, edge)
@@ -469,15 +533,61 @@ class Suffixes:
         return order, np.cumsum(new) - 1
 
 
+def _slices(anchor: np.ndarray, lead: np.ndarray, n: np.ndarray):
+    """(fragments, first window, number of windows) of about WINDOWS windows each: runs
+    of anchors, and of an anchor with more the distances from it by ranges."""
+    edge = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1], True]) if len(anchor) else np.zeros(1, np.int64)
+    ends = np.r_[0, np.cumsum(n)][edge]
+    for i, j in K.chunks(ends, WINDOWS):
+        x = np.arange(edge[i], edge[j])
+        if ends[j] - ends[i] <= WINDOWS:
+            yield x, np.zeros(len(x), np.int64), n[x]
+            continue
+        low, high = int((lead[x] - n[x]).min()) + 1, int(lead[x].max()) + 1
+        width = max(1, WINDOWS // len(x))
+        for near in range(low, high, width):
+            first = np.maximum(lead[x] - near - width + 1, 0)
+            many = np.minimum(lead[x] - near, n[x] - 1) - first + 1
+            yield x[many > 0], first[many > 0], many[many > 0]
+
+
+def _window_hashes(data: np.ndarray, at: np.ndarray, n: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of the ``n`` windows of each span, which starts at ``at``."""
+    out = []
+    for i, j in K.chunks(np.r_[0, np.cumsum(n + length - 1)]):
+        many = n[i:j]
+        size = many + length - 1
+        prefix = K.prefix_hash(_gather(data, at[i:j], size))
+        start = np.repeat(np.cumsum(size) - size - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        out.append(K.span_hash(prefix, start, start + length))
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def _pieces(key: np.ndarray, at: np.ndarray, own: np.ndarray, size: np.ndarray, data: np.ndarray, length: int):
+    """Runs of windows, which are ordered by key, whose fragments have about SLICE bytes.
+    A run that begins inside a key holds the key's first window and the one before its
+    own as well; where windows of one key differ, all are one run."""
+    group = np.cumsum(np.r_[True, key[1:] != key[:-1]]) - 1
+    if size[np.unique(own)].sum() <= 2 * SLICE or not _same_bytes(data, at, np.full(len(at), length), group).all():
+        yield np.arange(len(key))
+        return
+    head = np.searchsorted(group, group)
+    for i, j in K.chunks(np.r_[0, np.cumsum(size[own])], SLICE):
+        yield np.r_[np.unique([head[i], i - 1])[: 2 if head[i] < i else 0], np.arange(i, j)].astype(np.int64)
+
+
 def repeats(h, ids, rows, start, windows, lead, data, length: int):
     """Windows of the fragments that an equal window precedes: (id, row, first
     start, last start) runs.  ``lead``: bytes of a fragment before its anchor."""
     size = windows.astype(np.int64) + length - 1
     place = np.cumsum(size) - size
-    start, windows = start.astype(np.int64), windows.astype(np.int64)
+    start, windows, lead = start.astype(np.int64), windows.astype(np.int64), lead.astype(np.int64)
     gone = []
     # equal fragments: the first one stands for all
-    key = _same_key(K.prefix_hash(data), place, size, h)
+    key = np.zeros(len(h), np.uint64)
+    for i, j in K.chunks(np.r_[0, np.cumsum(size)]):
+        part = data[place[i] : place[j - 1] + size[j - 1]]
+        key[i:j] = _same_key(K.prefix_hash(part), place[i:j] - place[i], size[i:j], h[i:j])
     order, group, late = _first_of_equals(key, ids, rows, start)
     late &= _same_bytes(data, place[order], size[order], group)
     x = order[late]
@@ -485,24 +595,41 @@ def repeats(h, ids, rows, start, windows, lead, data, length: int):
     x = order[~late]
     x = x[np.lexsort((start[x], rows[x], ids[x], h[x]))]
     anchor = np.cumsum(np.r_[True, h[x][1:] != h[x][:-1]]) - 1
-    x = x[(np.bincount(anchor) > 1)[anchor]]
-    if len(x):
-        # suffixes that start a window, by anchor and by their distance from it
-        n = windows[x]
-        own = np.repeat(np.arange(len(x)), n)
-        step = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
-        anchor = np.cumsum(np.r_[True, h[x][1:] != h[x][:-1]]) - 1
-        group = anchor[own] * np.int64(1 << 16) + lead[x].astype(np.int64)[own] - step + (1 << 15)
-        by = np.argsort(group, kind="stable")
-        own, step, group = own[by], step[by], group[by]
-        _, group, size = np.unique(group, return_inverse=True, return_counts=True)
-        more = (size > 1)[group]  # a window of its own has no equal
-        own, step, group = own[more], step[more], group[more]
-    if len(x) and len(own):
-        suffixes = Suffixes(data, length)
-        order, cls = suffixes.classes(place[x][own] + step, group)
-        f = x[own[order]]
-        sid, srow, sstart = ids[f], rows[f], start[f] + step[order]
+    more = (np.bincount(anchor) > 1)[anchor]
+    x, anchor = x[more], anchor[more]
+    for y, first, n in _slices(anchor, lead[x], windows[x]):
+        gone += _late_windows(x[y], anchor[y], first, n, ids, rows, start, lead, place, data, length)
+    return gone
+
+
+def _late_windows(x, anchor, first, n, ids, rows, start, lead, place, data, length: int):
+    """Of ``n`` windows of each fragment x, from its window ``first`` on, those that an
+    equal one precedes.  Fragments of an anchor are ordered by id, row and start."""
+    # suffixes that start a window, by anchor and by their distance from it
+    own = np.repeat(np.arange(len(x)), n)
+    step = np.arange(len(own)) - np.repeat(np.cumsum(n) - n - first, n)
+    group = anchor[own] * np.int64(1 << 16) + lead[x][own] - step + (1 << 15)
+    key = K.mix(_window_hashes(data, place[x] + first, n, length) + K.mix(group.view(np.uint64)))
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    same = np.r_[False, key[1:] == key[:-1], False]
+    more = same[1:] | same[:-1]  # a window of its own has no equal
+    key, order = key[more], order[more]
+    own, step, group = own[order], step[order], group[order]
+    gone = []
+    for piece in _pieces(key, place[x[own]] + step, own, n + length - 1, data, length) if len(own) else ():
+        used, f = np.unique(own[piece], return_inverse=True)
+        f = f.reshape(-1)
+        size = n[used] + length - 1
+        near = _gather(data, place[x[used]] + first[used], size)
+        at = (np.cumsum(size) - size)[f] + step[piece] - first[used][f]
+        by = np.lexsort((step[piece], own[piece], group[piece]))
+        piece, at = piece[by], at[by]
+        _, inner = np.unique(group[piece], return_inverse=True)
+        sorted_, cls = Suffixes(near, length).classes(at, inner.reshape(-1))
+        w = piece[sorted_]
+        f = x[own[w]]
+        sid, srow, sstart = ids[f], rows[f], start[f] + step[w]
         inner, _, late = _first_of_equals(cls, sid, srow, sstart)
         y = inner[late]
         y = y[np.lexsort((sstart[y], srow[y], sid[y]))]
@@ -594,9 +721,10 @@ def _unite(length: int, text: bool, names: list[str]):
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = LENGTH, gram: int = GRAM, text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = LENGTH, gram: int = GRAM, text: bool = False, hot: int = HOT, share: int = HOT_SHARE) -> DataFrame:
     """One row per document: id, n_bytes, spans (removed byte ranges, end
-    exclusive), kept_sha256, and with ``text`` also ``kept``, the bytes left."""
+    exclusive), kept_sha256, and with ``text`` also ``kept``, the bytes left.
+    ``hot`` and ``share``: see ``hot_anchors``; they change no result."""
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     buckets = parts
@@ -605,7 +733,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sent = by(rows.mapInArrow(_send_anchors(length, gram, buckets), _ROW)).mapInArrow(_find_repeated(buckets), _ROW)
     texts = rows.mapInArrow(_send_texts(length, buckets), _ROW)
     at_home = by(sent.unionByName(texts))
-    fragments = at_home.mapInArrow(_send_fragments(length, gram, buckets), _ROW)
+    fragments = at_home.mapInArrow(_send_fragments(length, gram, buckets, hot_anchors(rows, length, gram, hot, share, parts)), _ROW)
     sorted_ = by(fragments).mapInArrow(_sort_fragments(length, buckets), _ROW)
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     fields = [T.StructField(id_col, T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("spans", span), T.StructField("kept_sha256", T.StringType())]

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -142,6 +143,55 @@ def test_suffix_sort_orders_and_survives_hash_collisions(monkeypatch):
         assert (got[0] == want[0]).all() and (got[1] == want[1]).all()
 
 
+def hot_fragments(n, line):
+    """Fragments of one anchor in a line that ``n`` documents hold."""
+    rng = np.random.default_rng(1)
+    line = np.tile(rng.integers(97, 123, line).astype(np.uint8), (n, 1))
+    around = rng.integers(97, 123, (2, n, 76)).astype(np.uint8)
+    data = np.ascontiguousarray(np.concatenate([around[0][:, 10:], line, around[1]], 1)[:, :175])
+    ids = np.arange(n)
+    return np.full(n, 7, np.uint64), ids, ids, np.zeros(n, np.uint32), np.full(n, 76, np.uint16), np.full(n, 76, np.uint16), data.reshape(-1)
+
+
+def late_windows(gone):
+    return {(i, s) for ids, _, lo, hi in gone for i, a, z in zip(ids.tolist(), lo.tolist(), hi.tolist()) for s in range(a, z + 1)}
+
+
+def test_a_hot_anchor_is_sorted_in_bounded_memory():
+    hot = hot_fragments(20000, 60)
+    tracemalloc.start()
+    gone = suffix_dedup.repeats(*hot, 100)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert not late_windows(gone) and peak < 150 << 20
+
+
+@pytest.mark.parametrize("windows, slice_", [(50, 2000), (1 << 20, 100), (7, 1)])
+def test_slices_of_an_anchor_give_what_the_whole_gives(monkeypatch, windows, slice_):
+    hot = hot_fragments(60, 130)
+    data = hot[-1].reshape(60, 175)
+    first: dict = {}
+    for i in range(60):
+        for s in range(76):
+            first.setdefault(data[i, s : s + 100].tobytes(), i)
+    want = {(i, s) for i in range(60) for s in range(76) if first[data[i, s : s + 100].tobytes()] < i}
+    monkeypatch.setattr(suffix_dedup, "WINDOWS", windows)
+    monkeypatch.setattr(suffix_dedup, "SLICE", slice_)
+    assert want and late_windows(suffix_dedup.repeats(*hot, 100)) == want
+
+
+@pytest.mark.parametrize("length, gram", [(100, 24), (40, 16)])
+def test_bands_of_hot_anchors_change_no_result(spark, length, gram):
+    line = prose(25, 31)
+    rows = awkward()[:-3] + [(52, "ab" * 400), (None, prose(120, 5))] + [(100 + i, prose(12 + i, 200 + i) + line + prose(20, 300 + i // 2)) for i in range(12)]
+    docs = frame(spark, rows)
+    hot = suffix_dedup.hot_anchors(docs.select("doc_id", "text"), length, gram, 2, 1, 4)
+    assert len(hot) and (np.diff(hot) > 0).all()
+    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(docs, length=length, gram=gram, hot=2, share=1).collect()}
+    for (i, _), want in zip(rows, brute_repeats(rows, length)):
+        assert (got[i].n_bytes, sum(s.end - s.start for s in got[i].spans), got[i].kept_sha256) == want
+
+
 # --- fuzzy passages --------------------------------------------------------
 
 
