@@ -312,6 +312,35 @@ def test_recall_of_edited_passages(size, rate, least):
     assert found >= least * n
 
 
+def test_seeds_are_matched_with_every_earlier_document():
+    rng = random.Random(7)
+    at = sorted({(rng.randrange(30), rng.randrange(40), rng.randrange(500)) for _ in range(900)})
+    rng.shuffle(at)
+    h, doc, pos = (np.array(x, t) for x, t in zip(zip(*at), (np.uint64, np.int64, np.int64)))
+    got = set(zip(*(x.tolist() for x in passage_dedup.match(h, doc, pos, 40))))
+    held: dict = {}
+    for x, d, p in sorted(at):
+        held.setdefault(x, {}).setdefault(d, []).append(p)
+    for docs in held.values():
+        for a, b in itertools.permutations(docs, 2):
+            if b < a:
+                assert {(a, b, p, docs[b][0]) for p in docs[a]} <= got
+
+
+def test_fuzzy_passage_whose_seeds_are_common_elsewhere():
+    """The only document that holds the whole passage is neither the first nor the
+    last of any of its seeds."""
+    p = prose(60, 61).split()
+    edited = ["edit" if i in (15, 30, 45) else w for i, w in enumerate(p)]
+    parts = [" ".join(p[i : i + 15]) for i in range(0, 60, 15)]
+    mixed = lambda n: [f"{prose(60, 700 + 9 * n + i)} {x} {prose(60, 800 + 9 * n + i)}" for i, x in enumerate(parts)]
+    texts = [*mixed(1), f"{prose(40, 71)} {' '.join(p)} {prose(40, 72)}", *mixed(2), f"{prose(30, 73)} {' '.join(edited)} {prose(50, 74)}"]
+    rows = list(enumerate(texts))
+    for tables in ([rows], [[r] for r in rows], [rows[::2], rows[1::2]]):
+        covered = {x for r in passage_steps(tables) if r[:2] == (9, 4) for x in range(r[2], r[3])}
+        assert set(range(30, 90)) <= covered
+
+
 @pytest.mark.parametrize("n, m", [(0, 300), (1, 200), (100, 90), (300, 120), (150, 400)])
 def test_long_alignments_cost_as_little_as_whole_ones(n, m):
     rng = np.random.default_rng(n + m)
