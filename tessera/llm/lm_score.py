@@ -27,12 +27,12 @@ Counts of words cover every training text and grow with them, so they are never
 sent to one place: texts are read in packs of ``PACK`` bytes, a pack asks the
 hash buckets of the vocabulary for its distinct words, and answers and text meet
 again in one task.  Only the class centres, the tables of spelling and of codes
-and a few totals are broadcast (fixed sizes, about 60 MB).  The class centres start from at most
-``SAMPLE`` training texts and become the means of all training texts in a round
-over the whole corpus.  The mixer's start weights are learned in every bucket of
-the vocabulary from one of ``WORD_SHARE`` of its words and averaged; those of codes
-in every task from one of ``TEXT_SHARE`` of the training texts.  What tasks
-add up meets in groups of tasks first, so no task reads a row of every other.
+and a few totals are broadcast (fixed sizes, about 60 MB).  The class centres come
+from all training texts: each task groups its own, the groups' weighted centres are
+grouped again, and a round over the whole corpus makes them the means of their texts.
+The mixer's start weights are learned in every bucket of the vocabulary from all its
+words and averaged; those of codes in every task from all its training texts.  What
+tasks add up meets in groups of tasks first, so no task reads a row of every other.
 
 Cases: a null or empty text is the end token alone; repeated rows count each; a
 null id counts as the empty text for folds; without training texts every word is
@@ -58,9 +58,6 @@ from . import word_bits
 from .packed import by_bucket, dealt, pack, rows, unpack, ROW
 
 CLASSES = 8
-SAMPLE = 2000
-WORD_SHARE = 4
-TEXT_SHARE = 16
 PACK = 4 << 20
 ORDERS = 4
 SLOTS = 1 << 18
@@ -80,6 +77,7 @@ _DIMS = 64 * 64
 
 
 _TEXTS = 64  # texts whose byte pairs are counted at once
+_GROUP = 512  # texts that are grouped at once, at most
 
 
 def _pair_roots(data: np.ndarray, offs: np.ndarray):
@@ -108,21 +106,31 @@ def _profile(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros((0, _DIMS), np.float32), *(_unit(x) for _, _, x in _pair_roots(data, offs))])
 
 
-def _centres(x: np.ndarray, k: int) -> np.ndarray:
+def _centres(x: np.ndarray, k: int, weight: np.ndarray | None = None) -> np.ndarray:
     """Spherical k-means from farthest-first starts."""
     if not len(x):
         return np.zeros((1, _DIMS), np.float32)
-    picked = [int(np.argmax(x @ x.mean(0)))]
+    w = np.ones(len(x), np.float32) if weight is None else weight.astype(np.float32)
+    picked = [int(np.argmax(x @ (w @ x)))]
     while len(picked) < min(k, len(x)):
         picked.append(int(np.argmin((x @ x[picked].T).max(1))))
-    centre = x[picked]
+    centre, before = x[picked], None
     for _ in range(12):
         own = np.argmax(x @ centre.T, 1)
-        new = np.stack([x[own == j].sum(0) if (own == j).any() else centre[j] for j in range(len(centre))])
-        centre = new / np.maximum(np.linalg.norm(new, axis=1, keepdims=True), 1e-9)
+        if before is not None and (own == before).all():
+            break
+        new = np.stack([w[own == j] @ x[own == j] if (own == j).any() else centre[j] for j in range(len(centre))])
+        centre, before = new / np.maximum(np.linalg.norm(new, axis=1, keepdims=True), 1e-9), own
     return centre.astype(np.float32)
 
 
+def _grouped(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The centres of all groups, grouped again, and how many texts each stands for."""
+    x, w = (np.concatenate(p) for p in zip(*sorted(parts, key=lambda p: p[0].tobytes())))
+    centre = _centres(x, CLASSES, w)
+    return centre, np.bincount(np.argmax(x @ centre.T, 1), w, len(centre))
+
+
 # --- tokens ----------------------------------------------------------------
 
 
@@ -358,20 +366,28 @@ class Model:
 
 
 def _classes(texts: DataFrame) -> np.ndarray:
-    """Class centres from the training texts with the smallest hashes of their ids."""
-    ids = texts.select("id").orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
-    sample = texts.join(F.broadcast(ids.distinct()), "id", "left_semi")  # at most SAMPLE ids
+    """Class centres from all training texts: those of parts of a task are grouped
+    again by task, by group of tasks and at last over all."""
+    fan = _fan(texts.sparkSession)
 
     def run(batches):
+        parts = []
         for batch in batches:
             data, offs = K.text_bytes(batch.column(0))
-            for i, j in K.chunks(offs):
-                x = _profile(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                yield pa.RecordBatch.from_arrays([pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary())], names=["x"])
+            for first, last in K.chunks(offs):
+                for i in range(first, last, _GROUP):
+                    j = min(i + _GROUP, last)
+                    x = _profile(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                    parts.append(_grouped([(x, np.ones(len(x)))]))
+        if parts:
+            yield rows([(TaskContext.get().partitionId() % fan, COUNTS, pack(_grouped(parts)))])
+
+    def meet(batches):
+        if parts := [unpack(raw) for batch in batches for raw in batch.column(2).to_pylist()]:
+            yield rows([(0, COUNTS, pack(_grouped(parts)))])
 
-    got = sample.select("t").mapInArrow(run, "x binary").orderBy("x").limit(SAMPLE).collect()
-    x = np.stack([np.frombuffer(r["x"], np.float16) for r in got]).astype(np.float32) if got else np.zeros((0, _DIMS), np.float32)
-    return _centres(x, CLASSES)
+    got = by_bucket(texts.select("t").mapInArrow(run, ROW), fan).mapInArrow(meet, ROW).collect()  # a row a group
+    return _grouped([unpack(r["payload"]) for r in got])[0] if got else _centres(np.zeros((0, _DIMS), np.float32), CLASSES)
 
 
 def _refined(texts: DataFrame, centres: np.ndarray) -> np.ndarray:
@@ -486,7 +502,7 @@ def _vocabulary(classes: int):
             often += [int((all_n == 1).sum()), int((all_n == 2).sum()), int((n == 1).sum())]
             words = [texts[i] for i in at[new]]
             table += _spelling_counts([w for w in words if w])
-            some += [w for x, w in zip(K.mix(h[new]).tolist(), words) if w and x % WORD_SHARE == 0]
+            some += [w for w in words if w]
             yield rows([(b, COUNTS, pack((h, c, n)))])
         if types:
             yield rows([(_TOTALS, COUNTS, pack((tokens, ends, kinds, types, often)))])
@@ -527,7 +543,7 @@ def _learned(speller):
             for raw in batch.column(2).to_pylist():
                 words = unpack(raw)
                 own = speller.value.copy()
-                own.learn(words)
+                own.learn(words, passes=1)
                 yield rows([(0, COUNTS, pack(np.r_[own.weights.ravel() * len(words), float(len(words))]))])
 
     return run
@@ -704,8 +720,7 @@ def scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "t
     model.codes = word_bits.CodeMixer(word_bits.class_rows(model.code_tokens), around)
     weights = model.codes.weights.copy()
     learning = spark.sparkContext.broadcast(model)
-    some = train.where(F.pmod(F.xxhash64("id"), F.lit(TEXT_SHARE)) == 0)
-    for row in _combined(some.select("t").mapInArrow(_learned_codes(learning), ROW), 1).collect():  # one row
+    for row in _combined(train.select("t").mapInArrow(_learned_codes(learning), ROW), 1).collect():  # one row
         sums = unpack(row["payload"])
         moved = sums[:, :, -1] > 0
         weights[moved] = sums[moved][:, :-1] / sums[moved][:, -1:]

@@ -90,6 +90,15 @@ def _nodes(rows: np.ndarray):
     return x, n
 
 
+def _sums(rows: np.ndarray) -> np.ndarray:
+    """The counts under the 31 nodes of each row's tree, node i at place i, flat."""
+    out = np.zeros((len(rows), 32), np.int64)
+    out[:, 16:] = rows
+    for i in range(15, 0, -1):
+        out[:, i] = out[:, 2 * i] + out[:, 2 * i + 1]
+    return out.reshape(-1)
+
+
 class CodeMixer:
     """Mixes the predictors of code bits; ``rows`` are those of the class and of
     each hashed context."""
@@ -97,7 +106,7 @@ class CodeMixer:
     def __init__(self, by_class: np.ndarray, hashed: np.ndarray):
         self.classes = len(by_class) // 17
         self.rows = [by_class, *(t.reshape(-1, 16) for t in hashed)]
-        self.nodes = None
+        self.nodes = self.sums = None
         self.weights = np.full((_LEVELS, _STEPS * _STEPS, 1 + CONTEXTS), _START)
         self.weights[:, :, 0] = 1 - _START
 
@@ -105,7 +114,7 @@ class CodeMixer:
         """For scoring: the votes of all rows, without the counts."""
         self.weights = weights
         self.nodes = [_nodes(r) for r in self.rows]
-        self.rows = None
+        self.rows = self.sums = None
         return self
 
     def _places(self, cls, around, codes, level):
@@ -113,18 +122,23 @@ class CodeMixer:
 
     def learn(self, h: np.ndarray, place: np.ndarray, cls: np.ndarray, used: np.ndarray) -> None:
         """Moves the weights after every block; ``used`` counts what moved each."""
+        if self.sums is None:
+            self.sums = [_sums(r) for r in self.rows]
         codes, around = code(h), contexts(h, place)
         for i in range(0, len(h), _BLOCK):
             now = slice(i, i + _BLOCK)
-            each = np.arange(len(codes[now]))
             for level in range(_LEVELS):
                 value = _nibble(codes[now], level)
-                seen = []
-                for table, at in zip(self.rows, self._places(cls[now], [c[now] for c in around], codes[now], level)):
-                    rows = table[at]
-                    rows[each, value] -= 1
-                    seen.append(_nodes(rows))
-                self._bits(value, level, lambda o, node: (seen[o][0][each, node], seen[o][1][each, node]), used)
+                start = [at * 32 for at in self._places(cls[now], [c[now] for c in around], codes[now], level)]
+
+                def vote(o, node):
+                    bit = (value >> (4 - int(node[0]).bit_length())) & 1
+                    n = self.sums[o].take(start[o] + node) - 1
+                    one = self.sums[o].take(start[o] + 2 * node + 1) - bit
+                    x = np.log(((one + _SOME) / (n - one + _SOME)).astype(np.float32))
+                    return x, np.minimum(np.log2(n + 1.0), _STEPS - 1).astype(np.uint8)
+
+                self._bits(value, level, vote, used)
 
     def log10(self, h: np.ndarray, place: np.ndarray, cls: np.ndarray) -> np.ndarray:
         """log10 of the probability of each token's code."""

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, html_main, lm_score, packing, tokens, toxicity, warc, word_bits
+from tessera.llm import decontam, html_main, lm_score, packed, packing, tokens, toxicity, warc, word_bits
 from tessera.llm import kernel as K
 
 from .helpers import LOWER, awkward, empty, frame, prose, words
@@ -247,6 +247,56 @@ def test_lm_scores(spark):
     assert all(r.train_tokens == 0 and r.n_known == 0 and math.isfinite(r.score) for r in none)
 
 
+def test_lm_classes_come_from_all_texts(spark):
+    """Texts of another alphabet whose ids have the largest hashes make a class."""
+    ids = [r.id for r in spark.range(2400).orderBy(F.xxhash64("id")).collect()]
+    texts = [" ".join(random.Random(i).choices("the of and river stone light walked under slowly".split(), k=20)) for i in range(2380)]
+    other = [" ".join(random.Random(i).choices("река камень свет под берег снова".split(), k=20)) for i in range(20)]
+    docs = spark.createDataFrame(list(zip(ids, texts + other)), "id long, t string").repartition(4)
+    data, offs = K.text_bytes(pa.array(other))
+    found = lm_score._profile(data, offs) @ lm_score._classes(docs).T
+    assert (found.max(1) > 0.8).all()
+
+
+def test_lm_weights_are_learned_from_all_words_and_texts(spark, monkeypatch):
+    known = [f"word{i}".encode() for i in range(200)]
+    h = np.arange(200, dtype=np.uint64)
+    raw = packed.pack((h, np.zeros(200, np.uint8), np.ones(200, np.int64), known))
+    got = list(lm_score._vocabulary(1)(iter([packed.rows([(0, lm_score.COUNTS, raw)])])))
+    learned = [packed.unpack(r["payload"]) for b in got for r in b.to_pylist() if r["bucket"] == lm_score._LEARN]
+    assert sorted(w for x in learned for w in x) == sorted(known)
+
+    def texts_read(model):
+        def run(batches):
+            n = sum(b.num_rows for b in batches)
+            yield packed.rows([(0, lm_score.COUNTS, packed.pack(np.concatenate([np.full((2, 64, 3), float(n)), np.ones((2, 64, 1))], 2)))])
+
+        return run
+
+    seen, ready = [], word_bits.CodeMixer.ready
+    monkeypatch.setattr(lm_score, "_learned_codes", texts_read)
+    monkeypatch.setattr(word_bits.CodeMixer, "ready", lambda self, weights: (seen.append(weights.max()), ready(self, weights))[1])
+    lm_score.scores(frame(spark, [(i, prose(5, i)) for i in range(50)]).coalesce(1), F.col("doc_id") >= 40)
+    assert seen == [40]
+
+
+def test_code_weights_move_by_the_counts_without_the_token(monkeypatch):
+    found, cls, mixer = _code_model([prose(300, i) for i in range(3)])
+    again = _code_model([prose(300, i) for i in range(3)])[2]
+    used = np.zeros(mixer.weights.shape[:2])
+    mixer.learn(found.hash, found.place, cls, used)
+    codes, around = word_bits.code(found.hash), word_bits.contexts(found.hash, found.place)
+    each, want = np.arange(len(codes)), np.zeros_like(used)
+    for level in range(2):
+        value, seen = word_bits._nibble(codes, level), []
+        for table, at in zip(again.rows, again._places(cls, around, codes, level)):
+            rows = table[at]
+            rows[each, value] -= 1
+            seen.append(word_bits._nodes(rows))
+        again._bits(value, level, lambda o, node: (seen[o][0][each, node], seen[o][1][each, node]), want)
+    assert (used == want).all() and np.allclose(mixer.weights, again.weights, atol=1e-5)
+
+
 def test_spelling_is_a_probability():
     s = lm_score.Speller(lm_score._spelling_counts([b"aba", b"abba", b"ab"] * 5))
     total = 0.0
