@@ -341,6 +341,29 @@ def test_fuzzy_passage_whose_seeds_are_common_elsewhere():
         assert set(range(30, 90)) <= covered
 
 
+def test_packed_rows_grow_with_tasks_and_buckets_alone(monkeypatch):
+    """A task sends a row a bucket, and one on to its own, whatever the size of a
+    group of near copies and the number of slices and tasks its matches come from."""
+    P, buckets, tables = passage_dedup, 8, 12
+    monkeypatch.setattr(P, "_MATCHES", 50)
+    base = prose(150, 95).split()
+    near = lambda i: " ".join(f"e{i}" if j % 40 == i % 40 else w for j, w in enumerate(base))
+    n_matches = []
+    for size in (240, 480):
+        dealt = [[(i, near(i)) for i in range(t, size, tables)] for t in range(tables)]
+        batches = [pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*t)], names=["id", "t"]) for t in dealt]
+        sent = [r for b in batches for r in in_tasks(P._send_seeds(P.SEED, P.SAMPLE, 50, buckets), [b])]
+        assert sum(r[1] == P.MATCHES for r in sent) <= tables * buckets
+        groups = by_bucket(sent)
+        met = [in_tasks(P._match_seeds(P.SEED, 50, buckets), g) for g in groups]
+        assert all(len(rows) <= buckets + 1 for rows in met)
+        n_matches.append(sum(len(packed.unpack(r[2])[0]) for rows in met for r in rows))
+        chained = [r for g in by_bucket([r for rows in met for r in rows]) for r in in_tasks(P._chain(P.SEED, 50, buckets), g)]
+        cut = [in_tasks(P._cut(buckets), g) for g in by_bucket(chained)]
+        assert all(sum(r[1] == P.PARTS for r in rows) == 1 for rows in cut)
+    assert n_matches[1] < 2.5 * n_matches[0]
+
+
 @pytest.mark.parametrize("n, m", [(0, 300), (1, 200), (100, 90), (300, 120), (150, 400)])
 def test_long_alignments_cost_as_little_as_whole_ones(n, m):
     rng = np.random.default_rng(n + m)
