@@ -42,7 +42,6 @@ unknown; an empty table gives an empty result; other columns are left alone.
 from __future__ import annotations
 
 import zlib
-from copy import copy
 from dataclasses import dataclass
 
 import numpy as np
@@ -191,15 +190,20 @@ def _bits(words: list[bytes]):
     return slots.reshape(ORDERS, -1), value.reshape(-1), np.repeat(np.arange(len(words)), size * 8)
 
 
+_SPELLED = 500  # words whose bits are laid out at once
+
+
 def _spelling_counts(words: list[bytes]) -> np.ndarray:
     """Table [order, bit, slot] of the bits of the words."""
     out = np.zeros((ORDERS, 2, SLOTS), np.int32)
     flat = out.reshape(ORDERS, -1)
     for i in range(0, len(words), 10000):
-        slots, value, _ = _bits(words[i : i + 10000])
-        side = value * np.int32(SLOTS)
-        for order in range(ORDERS):
-            flat[order] += np.bincount(slots[order] + side, minlength=2 * SLOTS).astype(np.int32)
+        held = []
+        for j in range(i, min(i + 10000, len(words)), _SPELLED):  # small arrays, counted together
+            slots, value, _ = _bits(words[j : min(j + _SPELLED, i + 10000)])
+            held.append(slots + value * np.int32(SLOTS))
+        for order, slots in enumerate(np.concatenate(held, 1)):
+            flat[order] += np.bincount(slots, minlength=2 * SLOTS).astype(np.int32)
     return out
 
 
@@ -239,13 +243,16 @@ class Speller:
     def learn(self, words: list[bytes], rate: float = 0.02, passes: int = 2) -> None:
         """Online: the weights move after every 100 words."""
         for _ in range(passes):
-            for i in range(0, len(words), 100):
-                slots, value, _ = _bits(words[i : i + 100])
-                x, gate, sums = self._inputs(slots)
-                error = value - _squash(sums)
-                n = np.sqrt(np.maximum(np.bincount(gate, minlength=ORDERS + 1), 1))
-                for o, v in enumerate(x):
-                    self.weights[:, o] += rate * np.bincount(gate, error * v, ORDERS + 1) / n
+            for i in range(0, len(words), _SPELLED):
+                all_slots, values, word = _bits(words[i : i + _SPELLED])
+                edge = np.searchsorted(word, np.arange(0, word[-1] + 101, 100))
+                for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                    slots, value = all_slots[:, a:b], values[a:b]
+                    x, gate, sums = self._inputs(slots)
+                    error = value - _squash(sums)
+                    n = np.sqrt(np.maximum(np.bincount(gate, minlength=ORDERS + 1), 1))
+                    for o, v in enumerate(x):
+                        self.weights[:, o] += rate * np.bincount(gate, error * v, ORDERS + 1) / n
 
     def log10(self, words: list[bytes]) -> np.ndarray:
         """log10 of each word's probability."""
@@ -274,27 +281,31 @@ def _mixed(words: Words, number: np.ndarray, log_new: np.ndarray) -> np.ndarray:
     text move after each step."""
     n_docs = len(words.off) - 1
     size = np.diff(words.off)
-    key = words.doc * (int(number.max()) + 1) + number
-    order = np.argsort(key, kind="stable")
-    new = np.r_[True, np.diff(key[order]) != 0]
-    head = np.flatnonzero(new)
-    times = np.empty(len(order), np.int64)
-    times[order] = np.arange(len(order)) - np.repeat(head, np.diff(np.r_[head, len(order)]))
+    n = len(number)
+    bits = np.uint64(max(n.bit_length(), 1))  # a number and a token's place in one sortable word
+    key = np.sort((number.astype(np.uint64) << bits) | np.arange(n, dtype=np.uint64))
+    order = (key & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    key >>= bits
+    owner = words.doc[order]
+    new = np.r_[True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])]
+    times = np.empty(n, np.int64)
+    times[order] = np.arange(n) - np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    del key, order, owner, new
     place = words.place
     cached = times / np.maximum(place, 1)
     fresh = log_new * np.log(10)  # in logarithms: a long unknown word's probability has no floor
     hit = (times > 0).astype(np.int64)
     bucket = np.minimum(np.log2(place + 1).astype(np.int64), _PLACES - 1)
-    previous = np.zeros(len(times), np.int64)
-    previous[1:] = (words.hash[:-1] >> np.uint64(58)).astype(np.int64)
-    past = np.zeros(len(times), np.int64)
+    past = np.zeros(n, np.int64)
     for back in (1, 2, 3):
         past[back:] += np.where(place[back:] >= back, hit[:-back], 0) << (back - 1)
-    out = np.zeros(len(times))
+    # a text's predictors are one row: by the previous word, the outcomes, the position
+    contexts = np.stack([np.r_[0, (words.hash[:-1] >> np.uint64(58)).astype(np.int64)], past + _PREVIOUS, bucket + _PREVIOUS + _OUTCOMES], 1)
+    width = _PREVIOUS + _OUTCOMES + _PLACES
+    out = np.zeros(n)
     by = np.argsort(-size, kind="stable")
     offset, length = words.off[:-1][by], size[by]
-    tables = [np.full((n_docs, m), 0.2) for m in (_PREVIOUS, _OUTCOMES, _PLACES)]
-    seen = [np.full((n_docs, m), 1.5) for m in (_PREVIOUS, _OUTCOMES, _PLACES)]
+    table, seen = np.full(n_docs * width, 0.2), np.full(n_docs * width, 1.5)
     weights = np.tile(_START, (n_docs, _PLACES, 1))
     step = np.arange(_STEP)
     for t in range(0, int(length.max(initial=0)), _STEP):
@@ -302,27 +313,24 @@ def _mixed(words: Words, number: np.ndarray, log_new: np.ndarray) -> np.ndarray:
         index = offset[:live, None] + t + step
         inside = t + step < length[:live, None]
         index = np.where(inside, index, offset[:live, None])
-        doc = np.arange(live)[:, None]
-        contexts = (previous[index], past[index], bucket[index])
-        stretched = [_stretch(table[doc, c]) for table, c in zip(tables, contexts)]
+        doc = np.arange(live)
+        at = contexts[index] + doc[:, None, None] * width
+        stretched = _stretch(table[at])
         gate = bucket[index[:, 0]]
-        w = weights[np.arange(live), gate]
-        rate = np.clip(_squash(sum(s * w[:, i, None] for i, s in enumerate(stretched))), 1e-4, 1 - 1e-4)
+        w = weights[doc, gate]
+        rate = np.clip(_squash((stretched * w[:, None]).sum(2)), 1e-4, 1 - 1e-4)
         with np.errstate(divide="ignore"):
             old = np.log(rate * cached[index])
         total = np.logaddexp(old, np.log1p(-rate) + fresh[index])
-        out[index[inside]] = total[inside] / np.log(10)
         share = np.exp(old - total)  # how much the repeat explains
         error = np.where(inside, share - rate, 0)
-        for i, s in enumerate(stretched):
-            w[:, i] += 0.02 * (error * s).sum(1)
-        weights[np.arange(live), gate] = w
-        for table, n, c in zip(tables, seen, contexts):
-            row = np.broadcast_to(doc, c.shape)[inside]
-            col = c[inside]
-            np.add.at(n, (row, col), 1.0)
-            np.add.at(table, (row, col), (share[inside] - table[row, col]) / np.minimum(n[row, col], 60))
-            np.clip(table[:live], 0.002, 0.998, out=table[:live])
+        weights[doc, gate] = w + 0.02 * (error[:, :, None] * stretched).sum(1)
+        out[index[inside]] = total[inside] / np.log(10)
+        at, share = at[inside], share[inside][:, None]
+        np.add.at(seen, at.reshape(-1), 1.0)
+        moved = (share - table[at]) / np.minimum(seen[at], 60)
+        np.add.at(table, at.reshape(-1), moved.reshape(-1))
+        table[at] = np.clip(table[at], 0.002, 0.998)
     return out
 
 
@@ -553,8 +561,7 @@ def _learned_codes(model):
     """The code weights that a task's texts teach, times their uses, and the uses."""
 
     def run(batches):
-        mixer = copy(model.value.codes)
-        mixer.weights = mixer.weights.copy()
+        mixer = model.value.codes.learner()
         used = np.zeros(mixer.weights.shape[:2])
         for batch in batches:
             data, offs = K.text_bytes(batch.column(0))

@@ -16,6 +16,8 @@ empty result; a context that was never seen has no vote.
 
 from __future__ import annotations
 
+from copy import copy
+
 import numpy as np
 
 from . import kernel as K
@@ -25,7 +27,7 @@ CONTEXTS = 2
 ROW_BITS = 17
 _LEVELS = 2
 _BLOCK = 4000
-_SCORED = 16384
+_SCORED = 4000
 _RATE = 0.05
 _FAR = 60  # a bit's probability is at least e ** -60
 _SOME = 0.1  # added to both counts of a bit
@@ -90,13 +92,24 @@ def _nodes(rows: np.ndarray):
     return x, n
 
 
-def _sums(rows: np.ndarray) -> np.ndarray:
-    """The counts under the 31 nodes of each row's tree, node i at place i, flat."""
-    out = np.zeros((len(rows), 32), np.int64)
-    out[:, 16:] = rows
-    for i in range(15, 0, -1):
-        out[:, i] = out[:, 2 * i] + out[:, 2 * i + 1]
-    return out.reshape(-1)
+def _left_out(rows: np.ndarray):
+    """As ``_nodes``, for a token that leaves its own occurrence out: the stretched
+    probability at the place of the bit's outcome (2 i + bit), and the step."""
+    x, n = np.zeros((len(rows), 32), np.float32), np.zeros(rows.shape, np.uint8)
+    for depth in (3, 2, 1, 0):
+        zero, one = rows[:, 0::2], rows[:, 1::2]
+        x[:, 2 << depth : 4 << depth : 2] = np.log((one + _SOME) / (np.maximum(zero - 1, 0) + _SOME))
+        x[:, (2 << depth) + 1 : 4 << depth : 2] = np.log((np.maximum(one - 1, 0) + _SOME) / (zero + _SOME))
+        rows = zero + one
+        n[:, 1 << depth : 2 << depth] = np.minimum(np.log2(np.maximum(rows, 1)), _STEPS - 1)
+    return x, n
+
+
+#: The outcomes (2 i + bit) of the four bits i of every nibble, and their signs.
+_OUTCOMES = (16 | np.arange(16)) >> np.arange(3, -1, -1)[:, None]
+_SIGNS = ((_OUTCOMES & 1) * 2 - 1).astype(np.float32)
+_SETS = _STEPS * _STEPS
+_OF_BIT = np.arange(4)[:, None] * _SETS
 
 
 class CodeMixer:
@@ -106,37 +119,45 @@ class CodeMixer:
     def __init__(self, by_class: np.ndarray, hashed: np.ndarray):
         self.classes = len(by_class) // 17
         self.rows = [by_class, *(t.reshape(-1, 16) for t in hashed)]
-        self.nodes = self.sums = None
-        self.weights = np.full((_LEVELS, _STEPS * _STEPS, 1 + CONTEXTS), _START)
+        self.nodes = self.left_out = None
+        self.weights = np.full((_LEVELS, _SETS, 1 + CONTEXTS), _START)
         self.weights[:, :, 0] = 1 - _START
 
     def ready(self, weights: np.ndarray) -> CodeMixer:
         """For scoring: the votes of all rows, without the counts."""
         self.weights = weights
         self.nodes = [_nodes(r) for r in self.rows]
-        self.rows = self.sums = None
+        self.rows = self.left_out = None
         return self
 
+    def learner(self) -> CodeMixer:
+        """A copy with weights of its own; the votes without a token's own occurrence
+        are kept here, for all tasks of a process."""
+        if self.left_out is None:
+            self.left_out = [_left_out(r) for r in self.rows]
+        other = copy(self)
+        other.weights = self.weights.copy()
+        return other
+
     def _places(self, cls, around, codes, level):
         return [_of_class(cls, codes, level, self.classes), *(_hashed(c, codes, level) for c in around)]
 
     def learn(self, h: np.ndarray, place: np.ndarray, cls: np.ndarray, used: np.ndarray) -> None:
         """Moves the weights after every block; ``used`` counts what moved each."""
-        if self.sums is None:
-            self.sums = [_sums(r) for r in self.rows]
+        if self.left_out is None:
+            self.left_out = [_left_out(r) for r in self.rows]
         codes, around = code(h), contexts(h, place)
+        flat = [[t.reshape(-1) for t in pair] for pair in self.left_out]
         for i in range(0, len(h), _BLOCK):
             now = slice(i, i + _BLOCK)
             for level in range(_LEVELS):
                 value = _nibble(codes[now], level)
+                outcome = _OUTCOMES.take(value, 1)
                 start = [at * 32 for at in self._places(cls[now], [c[now] for c in around], codes[now], level)]
 
                 def vote(o, node):
-                    bit = (value >> (4 - int(node[0]).bit_length())) & 1
-                    n = self.sums[o].take(start[o] + node) - 1
-                    one = self.sums[o].take(start[o] + 2 * node + 1) - bit
-                    x = np.log(((one + _SOME) / (n - one + _SOME)).astype(np.float32))
-                    return x, np.minimum(np.log2(n + 1.0), _STEPS - 1).astype(np.uint8)
+                    at = start[o] + outcome
+                    return flat[o][0].take(at), flat[o][1].take(at >> 1) if o else None
 
                 self._bits(value, level, vote, used)
 
@@ -158,21 +179,25 @@ class CodeMixer:
         return out / np.log(10)
 
     def _bits(self, value, level, vote, used=None):
-        """The natural logarithms that the nibbles cost; with ``used`` the weights learn."""
-        cost = np.ones(len(value))
-        w = self.weights[level]
-        columns = np.ascontiguousarray(w.T)
-        for b in range(4):
-            votes = [vote(o, (1 << b) | (value >> (4 - b))) for o in range(1 + CONTEXTS)]
-            gate = votes[1][1].astype(np.int64) * _STEPS + votes[2][1]
-            sign = ((value >> (3 - b)) & 1) * 2 - 1
-            x = sum(v[0] * columns[o].take(gate) for o, v in enumerate(votes)) * sign
-            odds = np.exp(np.clip(-x, -_FAR, _FAR))
-            cost *= 1 + odds  # four factors of at most e ** _FAR + 1
-            if used is not None:
-                error = sign * odds / (1 + odds)
-                n = np.bincount(gate, minlength=len(w))
-                used[level] += n
-                for o, v in enumerate(votes):
-                    w[:, o] += _RATE * np.bincount(gate, error * v[0], len(w)) / np.sqrt(n + 1)
-        return np.log(cost)
+        """The natural logarithms that the nibbles cost; with ``used`` the weights learn instead.
+        The four bits of a nibble are rows of one array."""
+        w, sign = self.weights[level], _SIGNS.take(value, 1)
+        node = _OUTCOMES.take(value, 1) >> 1
+        votes = [vote(o, node) for o in range(1 + CONTEXTS)]
+        step = (votes[1][1] * np.uint8(_STEPS) + votes[2][1]).astype(np.intp)
+        columns = np.ascontiguousarray(w.T, np.float32)
+        x = votes[0][0] * columns[0].take(step)
+        for o in range(1, 1 + CONTEXTS):
+            x += votes[o][0] * columns[o].take(step)
+        x *= -sign
+        odds = np.exp(np.clip(x, -_FAR, _FAR, out=x), out=x)
+        if used is not None:
+            gate = (step + _OF_BIT).reshape(-1)
+            error = sign * odds / (1 + odds)
+            n = np.bincount(gate, minlength=4 * _SETS).reshape(4, _SETS)
+            used[level] += n.sum(0)
+            rate = _RATE / np.sqrt(n + 1)
+            for o, v in enumerate(votes):
+                w[:, o] += (rate * np.bincount(gate, (error * v[0]).reshape(-1), 4 * _SETS).reshape(4, _SETS)).sum(0)
+            return None
+        return np.log(np.prod(1 + odds, 0, np.float64))  # four factors of at most e ** _FAR + 1

@@ -369,6 +369,23 @@ def test_code_weights_learn_and_codes_are_probabilities():
     assert (10**got).sum() == pytest.approx(1, abs=1e-6)
 
 
+def test_code_weights_learn_without_a_logarithm_a_token(monkeypatch):
+    """Votes come from tables: the logarithms taken don't grow with the texts."""
+    found, cls, mixer = _code_model([prose(300, i) for i in range(4)])
+    taken, learner = collections.Counter(), mixer.learner()
+
+    class Counted:
+        def __getattr__(self, name):
+            f = getattr(np, name)
+            return (lambda x, *a, **k: (taken.update([name] * np.size(x)), f(x, *a, **k))[1]) if name in ("log", "log2", "log1p") else f
+
+    monkeypatch.setattr(word_bits, "np", Counted())
+    used = np.zeros(mixer.weights.shape[:2])
+    learner.learn(found.hash, found.place, cls, used)
+    assert not taken and used.sum() == 8 * len(cls)
+    assert not np.allclose(learner.weights, mixer.weights) and mixer.learner().left_out is learner.left_out
+
+
 def test_code_shares_are_those_of_the_known_words():
     tokens, kinds = np.array([60, 40, 0]), np.array([9, 5, 0])
     rng = np.random.default_rng(4)
