@@ -294,14 +294,17 @@ def _mixed(words: Words, number: np.ndarray, log_new: np.ndarray) -> np.ndarray:
     place = words.place
     cached = times / np.maximum(place, 1)
     fresh = log_new * np.log(10)  # in logarithms: a long unknown word's probability has no floor
-    hit = (times > 0).astype(np.int64)
-    bucket = np.minimum(np.log2(place + 1).astype(np.int64), _PLACES - 1)
-    past = np.zeros(n, np.int64)
-    for back in (1, 2, 3):
-        past[back:] += np.where(place[back:] >= back, hit[:-back], 0) << (back - 1)
+    hit = (times > 0).astype(np.uint8)
+    del times
     # a text's predictors are one row: by the previous word, the outcomes, the position
-    contexts = np.stack([np.r_[0, (words.hash[:-1] >> np.uint64(58)).astype(np.int64)], past + _PREVIOUS, bucket + _PREVIOUS + _OUTCOMES], 1)
     width = _PREVIOUS + _OUTCOMES + _PLACES
+    contexts = np.zeros((n, 3), np.uint8)
+    contexts[1:, 0] = words.hash[:-1] >> np.uint64(58)
+    contexts[:, 1] = _PREVIOUS
+    for back in (1, 2, 3):
+        contexts[back:, 1] += np.where(place[back:] >= back, hit[:-back], np.uint8(0)) << np.uint8(back - 1)
+    bucket = np.minimum(np.log2(place + 1), _PLACES - 1).astype(np.uint8)
+    contexts[:, 2] = bucket + np.uint8(_PREVIOUS + _OUTCOMES)
     out = np.zeros(n)
     by = np.argsort(-size, kind="stable")
     offset, length = words.off[:-1][by], size[by]
