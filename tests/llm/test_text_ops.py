@@ -386,6 +386,39 @@ def test_code_weights_learn_without_a_logarithm_a_token(monkeypatch):
     assert not np.allclose(learner.weights, mixer.weights) and mixer.learner().left_out is learner.left_out
 
 
+def test_repeats_are_mixed_as_by_a_plain_loop():
+    texts = ["", "a", "a a a a a a a a a a", prose(70, 3), " ".join(prose(9, 4).split() * 6), "b c b"]
+    words = lm_score.Words(*K.text_bytes(pa.array(texts)))
+    number = lm_score._distinct(words, np.zeros(len(texts), np.int64))[1]
+    fresh = np.random.default_rng(5).uniform(-6, -1, len(number))
+    want = []
+    for a, z in zip(words.off[:-1].tolist(), words.off[1:].tolist()):
+        tables, seen = ([collections.defaultdict(lambda x=x: x) for _ in range(3)] for x in (0.2, 1.5))
+        weights = collections.defaultdict(lambda: [0.5, 0.5, 0.5])
+        times = [number[a:i].tolist().count(number[i]) for i in range(a, z)]
+        place = [min(15, int(math.log2(i + 1))) for i in range(z - a)]
+        near = [(int(words.hash[a + i - 1]) >> 58 if a + i else 0, sum((times[i - k] > 0) << (k - 1) for k in (1, 2, 3) if i >= k), place[i]) for i in range(z - a)]
+        for t in range(0, z - a, 8):
+            w, now, errors, shares = weights[place[t]], range(t, min(t + 8, z - a)), [], []
+            for i in now:
+                x = [math.log(p[c] / (1 - p[c])) for p, c in zip(tables, near[i])]
+                rate = min(max(1 / (1 + math.exp(-sum(map(float.__mul__, w, x)))), 1e-4), 1 - 1e-4)
+                old, new = rate * times[i] / max(i, 1), (1 - rate) * 10 ** fresh[a + i]
+                want.append(math.log10(old + new))
+                shares.append(old / (old + new))
+                errors.append([(shares[-1] - rate) * v for v in x])
+            weights[place[t]] = [v + 0.02 * sum(e[k] for e in errors) for k, v in enumerate(w)]
+            for k, (p, n) in enumerate(zip(tables, seen)):
+                for i in now:
+                    n[near[i][k]] += 1
+                moves = [(near[i][k], (share - p[near[i][k]]) / min(n[near[i][k]], 60)) for i, share in zip(now, shares)]
+                for c, move in moves:
+                    p[c] += move
+                for c, _ in moves:
+                    p[c] = min(max(p[c], 0.002), 0.998)
+    assert lm_score._mixed(words, number, fresh) == pytest.approx(want, abs=1e-9)
+
+
 def test_code_shares_are_those_of_the_known_words():
     tokens, kinds = np.array([60, 40, 0]), np.array([9, 5, 0])
     rng = np.random.default_rng(4)
