@@ -12,6 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from .batches import cuts
+
 # The words that keyword search leaves out.
 STOPWORDS = (
     "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to "
@@ -60,9 +62,23 @@ def uint32(number: Column) -> Column:
     return number.cast("long").bitwiseAND(F.lit(UINT32).cast("long"))
 
 
+# Characters that are hashed together: bounds the code units held at once.
+HASH_CHARS = 4 << 20
+
+
 def fnv1a_many(texts: list[str]) -> np.ndarray:
-    """The same hash of many texts: all advance one code unit at a time, longest
-    first, so each step is one array operation."""
+    """The same hash of many texts, longest first, in groups of bounded size."""
+    size = np.array([len(t) for t in texts], np.int64)
+    by = np.argsort(-size, kind="stable")
+    out = np.empty(len(texts), np.int64)
+    for begin, end in cuts(size[by], HASH_CHARS):
+        out[by[begin:end]] = _fnv1a_group([texts[i] for i in by[begin:end].tolist()])
+    return out
+
+
+def _fnv1a_group(texts: list[str]) -> np.ndarray:
+    """All advance one code unit at a time, longest first, so each step is one array
+    operation."""
     raw = [t.encode("utf-16-le", "surrogatepass") for t in texts]
     size = np.array([len(r) // 2 for r in raw], np.int64)
     units = np.frombuffer(b"".join(raw), np.uint16)

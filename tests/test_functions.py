@@ -36,6 +36,14 @@ def test_bulk_hash_property(texts):
     assert X.fnv1a_many(texts).tolist() == [model_hash(t) for t in texts]
 
 
+def test_bulk_hash_in_groups_gives_the_same(monkeypatch):
+    texts = ["ab" * 40, "", "𝔘nicode", "x", "y" * 7, "é" * 30]
+    whole = X.fnv1a_many(texts).tolist()
+    monkeypatch.setattr(X, "HASH_CHARS", 10)
+    assert X.fnv1a_many(texts).tolist() == whole == [model_hash(t) for t in texts]
+    assert X.fnv1a_many([]).tolist() == []
+
+
 def test_null_text_hashes_as_empty(spark):
     row = spark.sql("select cast(null as string) t").select(X.fnv1a(F.col("t")), X.content_hash("t")).first()
     assert tuple(row) == (2166136261, 2166136261)
