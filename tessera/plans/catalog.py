@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.params import WEIGHTS
 from ..functions.vector import clamped, finite, norm
-from ..operators import chunker, embed, ingest, knn, rank
+from ..operators import buckets, chunker, embed, ingest, knn, rank
 from ..sources.tables import table
 from . import search
 
@@ -242,13 +242,8 @@ def chunk_markdown_tables(spark, sf):
 
 
 def mock_embed(spark, sf):
-    tokens = table(spark, sf, "documents").select("doc_id", F.explode(X.mock_tokens(F.col("text"))).alias("token"))
-    words = tokens.groupBy("doc_id", "token").agg(F.count("*").alias("n"))
-    hashed = words.select("token").distinct().withColumn("bucket", X.content_hash("token") % X.MOCK_DIM)
-    sparse = words.join(hashed, "token").groupBy("doc_id", "bucket").agg(F.sum("n").cast("double").alias("n"))
-    size = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("doc_id")))
-    weighted = sparse.withColumn("w", F.col("n") / size)
-    return weighted.groupBy("doc_id").agg(F.count("*").alias("buckets"), _r(F.max("w")).alias("top_weight"), _r(F.sum(F.col("w") * (F.col("bucket") + 1)), 5).alias("checksum"))
+    found = buckets.profile(table(spark, sf, "documents"), "doc_id")
+    return found.select("doc_id", "buckets", _r("top_weight").alias("top_weight"), _r("checksum", 5).alias("checksum"))
 
 
 def mock_cosine(spark, sf):
