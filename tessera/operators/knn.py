@@ -1,14 +1,15 @@
 """Exact nearest neighbours by cosine, best k of each query and collection.
 
 Queries are a block of bounded size, held by every task; a task multiplies its
-rows by the block and keeps its own best k, so a shuffle carries k rows a query,
-collection and task, however large the table is.  ``top_k`` takes one block and
+rows, a batch at a time, by a part of the block at a time and keeps the batch's best
+k, so a shuffle carries k rows a query, collection and batch of 10,000 rows.  ``top_k`` takes one block and
 refuses more than ``BLOCK_QUERIES``; ``top_k_of_all`` deals any number of queries
 into blocks and unites their results.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -20,6 +21,7 @@ from ..functions.params import RequestError
 from ..sources.scratch import settle
 
 BLOCK_QUERIES = 4096
+CELLS = 1 << 20  # similarities that a task holds at a time
 _TIE = 10  # decimals within which similarities count as equal
 
 
@@ -51,6 +53,31 @@ def _best(groups: list[np.ndarray], score: np.ndarray, ids: np.ndarray, k: int)
     return np.concatenate(out)
 
 
+def best_batches(batches: Iterable[pa.RecordBatch], wanted: np.ndarray, query_ids: pa.Array, k: int) -> Iterator[pa.RecordBatch]:
+    """(id, collection, vector) batches to the best k of each query and collection in
+    each batch.  At most ``CELLS`` similarities are held, or those of one query."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        names = batch.column(1).dictionary_encode()
+        group = names.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        by = np.argsort(group, kind="stable")
+        groups = np.split(by, np.flatnonzero(np.diff(group[by])) + 1)
+        rows = _unit(_matrix(batch.column(2), wanted.shape[1])).T
+        width = max(1, CELLS // len(ids))
+        for first in range(0, len(wanted), width):
+            score = np.round(wanted[first : first + width] @ rows, _TIE)
+            score[~np.isfinite(score)] = -np.inf
+            best = [_best(groups, own, ids, k) for own in score]
+            at = np.concatenate(best)
+            if not len(at):
+                continue
+            q = np.repeat(np.arange(len(best)), [len(own) for own in best])
+            columns = [query_ids.take(pa.array(first + q)), batch.column(1).take(pa.array(at)).cast(pa.string()), pa.array(ids[at]), pa.array(score[q, at])]
+            yield pa.RecordBatch.from_arrays(columns, names=["query_id", "collection", "id", "cosine"])
+
+
 def top_k(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """rows (id long, collection, vector) x queries (query_id, vector) to the best
     k by (query_id, collection): query_id, collection, id, cosine, rank from 1.
@@ -72,33 +99,14 @@ def _top_k_of_block(rows: DataFrame, queries: DataFrame, block: pa.Table, k: int
     k = max(1, int(k))
     query_type = rows.sparkSession.createDataFrame([], queries.select("query_id").schema).schema["query_id"].dataType
     schema = f"query_id {query_type.simpleString()}, collection string, id long, cosine double"
-    names = ["query_id", "collection", "id", "cosine"]
     if not block.num_rows:
         return rows.sparkSession.createDataFrame([], schema + ", rank int")
     vectors = block["vector"].combine_chunks()
-    dim = len(vectors[0])
-    wanted = _unit(_matrix(vectors, dim))
+    wanted = _unit(_matrix(vectors, len(vectors[0])))
     query_ids = block["query_id"].combine_chunks()
 
     def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            names_of = batch.column(1).dictionary_encode()
-            group = names_of.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-            by = np.argsort(group, kind="stable")
-            groups = np.split(by, np.flatnonzero(np.diff(group[by])) + 1)
-            cos = _unit(_matrix(batch.column(2), dim)) @ wanted.T
-            for q in range(cos.shape[1]):
-                score = np.round(cos[:, q], _TIE)
-                score[~np.isfinite(score)] = -np.inf
-                at = _best(groups, score, ids, k)
-                if not len(at):
-                    continue
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([query_ids[q].as_py()] * len(at), query_ids.type), batch.column(1).take(pa.array(at)).cast(pa.string()), pa.array(ids[at]), pa.array(score[at])], names=names
-                )
+        return best_batches(batches, wanted, query_ids, k)
 
     found = rows.select(F.col("id").cast("long"), F.col("collection").cast("string"), "vector").mapInArrow(run, schema)
     window = Window.partitionBy("query_id", "collection").orderBy(F.desc("cosine"), "id")

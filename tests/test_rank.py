@@ -1,7 +1,10 @@
 """Keyword scores, fusion and boosts on small fixtures and against a plain model."""
 
 import math
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,6 +102,29 @@ def test_top_k_of_all_deals_queries_into_blocks(spark, monkeypatch):
     assert knn.top_k_of_all(rows, queries.limit(0), 3).count() == 0
 
 
+def test_similarities_of_a_batch_are_held_in_parts(monkeypatch):
+    draw = np.random.default_rng(5)
+    rows, queries = draw.integers(-3, 4, (6000, 8)).astype(float), draw.integers(-3, 4, (1500, 8)).astype(float)
+    rows[17], queries[3] = 0, 0
+    names = pa.array([None if i % 5 == 0 else "ab"[i % 2] for i in range(len(rows))], pa.string())
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(rows))), names, pa.array(list(rows))], names=["id", "collection", "vector"])
+    ids = pa.array(range(100, 100 + len(queries)))
+
+    def found():
+        tracemalloc.start()
+        parts = list(knn.best_batches([batch, batch.slice(0, 0)], knn._unit(queries), ids, 3))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return peak, len(parts), sorted((r["query_id"], str(r["collection"]), r["id"], r["cosine"]) for p in parts for r in p.to_pylist())
+
+    peak, parts, got = found()
+    assert peak < len(rows) * len(queries) * 8 / 2 and parts > 1  # less than half of all similarities
+    assert {r[0] for r in got} == {*range(100, 1600)} - {103} and all(r[2] != 17 for r in got)
+    monkeypatch.setattr(knn, "CELLS", 1 << 40)
+    peak, parts, whole = found()
+    assert peak > len(rows) * len(queries) * 8 and parts == 1 and got == whole
+
+
 @pytest.mark.parametrize("name", ["cosine_topk", "cosine_topk_per_collection", "hybrid_multi_query", "dense_threshold"])
 def test_queries_beyond_one_block_give_the_same_rows(spark, monkeypatch, name):
     from tessera.plans import catalog
