@@ -125,6 +125,18 @@ def test_similarities_of_a_batch_are_held_in_parts(monkeypatch):
     assert peak > len(rows) * len(queries) * 8 and parts == 1 and got == whole
 
 
+def test_memory_of_a_search_does_not_grow_with_its_queries():
+    draw = np.random.default_rng(6)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4000)), pa.array(["a", "b"] * 2000), pa.array(list(draw.normal(size=(4000, 4))))], names=["id", "collection", "vector"])
+    peaks = []
+    for n in (500, 2000):
+        tracemalloc.start()
+        assert sum(p.num_rows for p in knn.best_batches([batch], knn._unit(draw.normal(size=(n, 4))), pa.array(range(n)), 2)) == 4 * n
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.5 * peaks[0]
+
+
 @pytest.mark.parametrize("name", ["cosine_topk", "cosine_topk_per_collection", "hybrid_multi_query", "dense_threshold"])
 def test_queries_beyond_one_block_give_the_same_rows(spark, monkeypatch, name):
     from tessera.plans import catalog
